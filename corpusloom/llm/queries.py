@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup
+from corpusloom.llm import line_dedup, pieces, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +40,56 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN g USI
 """
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's counts, base verdict and the verdict with the limits on repeated substrings."""
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("longest_repeat", "n_long_repeat_words")
+
+
+def _windows(name: str, size: int) -> str:
+    """Words that lie in windows of `size` words found twice or more in their row."""
+    return f"""
+{name}_w AS (SELECT r, i, array_to_string(w[i:i + {size - 1}], chr(32)) AS g FROM (SELECT r, w, unnest(range(1, len(w) - {size - 2})) AS i FROM t WHERE len(w) >= {size})),
+{name}_r AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM {name}_w) WHERE n > 1),
+{name} AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + {size})) AS j FROM {name}_r) GROUP BY r)"""
+
+
+OP3_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^ 	-]') GROUP BY r),{_windows("short", 5)},{_windows("long", 10)},{_windows("longest", 51)},
+c AS (SELECT t.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(short.n, 0)::BIGINT AS n_repeat_words,
+  coalesce(long.n, 0) AS covered, longest.r IS NOT NULL AS too_long
+  FROM t LEFT JOIN dup USING (r) LEFT JOIN short USING (r) LEFT JOIN long USING (r) LEFT JOIN longest USING (r)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * covered <= 20 * n_words AND NOT too_long AS kept FROM v
+"""
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text under the word-level BPE vocabulary."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and what they decode to, as counts and digests."""
+    return pieces.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op3_quality_rules": op3_quality_rules,
+        "op8_token_counts": op8_token_counts,
+        "op9_sentencepiece": op9_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL}
