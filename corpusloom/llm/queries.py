@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup, pieces, quality, token_counts
+from corpusloom.llm import line_dedup, pieces, quality, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,13 @@ def _windows(name: str, size: int) -> str:
 
 
 OP3_SQL = rf"""
-WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
-dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^ 	-]') GROUP BY r),{_windows("short", 5)},{_windows("long", 10)},{_windows("longest", 51)},
-c AS (SELECT t.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY r),{_windows("short", 5)},{_windows("long", 10)},{_windows("longest", 51)},
+c AS (SELECT t.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(short.n, 0)::BIGINT AS n_repeat_words,
   coalesce(long.n, 0) AS covered, longest.r IS NOT NULL AS too_long
   FROM t LEFT JOIN dup USING (r) LEFT JOIN short USING (r) LEFT JOIN long USING (r) LEFT JOIN longest USING (r)),
@@ -72,6 +75,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole text with a model fitted on the labelled rows that aren't held out."""
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, _table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select("doc_id", (toxicity.held_out_remainder() == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text under the word-level BPE vocabulary."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
@@ -86,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op5_toxicity": op5_toxicity,
         "op8_token_counts": op8_token_counts,
         "op9_sentencepiece": op9_sentencepiece,
     }
