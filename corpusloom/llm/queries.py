@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup, pieces, quality, token_counts, toxicity
+from corpusloom.llm import line_dedup, pieces, quality, token_counts, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host, path, the place rule that fits, and the verdict."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def _op4_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({quote(r.name)}, {quote(r.kind)}, {quote(r.verdict)}, {quote(r.pattern)})" for r in url_filter.PLACES + url_filter.WORDS)
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return rf"""
+WITH rules(name, kind, verdict, pattern) AS (VALUES {rules}),
+p AS (SELECT row_number() OVER () AS r, page_id, translate(url, {lower}) AS url, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 1), {lower}) AS host,
+  regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+f AS (SELECT r, kind, name, verdict FROM p, rules WHERE regexp_matches(CASE kind WHEN 'place' THEN host || path ELSE url END, pattern)),
+b AS (SELECT r, arg_max(name, (length(name), name)) AS rule, arg_max(verdict, (length(name), name)) AS verdict FROM f WHERE kind = 'place' GROUP BY r),
+u AS (SELECT r, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS blocked FROM f WHERE kind = 'url' GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(b.verdict, CASE WHEN u.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN b USING (r) LEFT JOIN u USING (r)
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every whole text with a model fitted on the labelled rows that aren't held out."""
     documents = _table(spark, sf_dir, "documents")
@@ -92,15 +112,32 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all vectors for each vector whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.search(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op4_url_filter": op4_url_filter,
         "op5_toxicity": op5_toxicity,
         "op8_token_counts": op8_token_counts,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_exact_top_k": op10_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op4_url_filter": _op4_sql(), "op10_exact_top_k": OP10_SQL}
