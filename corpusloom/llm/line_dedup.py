@@ -16,22 +16,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from corpusloom.llm.common import SPACE, cut, row_key, tune
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from corpusloom.llm.common import cut, row_key, tune
 
 _MARK = "doc long, pos int, h1 long, h2 long, docs long, first boolean"
 
 
-def line_keys(text):
-    """Two 64-bit hashes of each line's key: stripped of [\\x20\\x09-\\x0D], A-Z lower-cased; nulls for an empty key."""
-
-    def hashed(line):
-        key = F.translate(F.trim(line, F.lit(SPACE)), UPPER, LOWER)
-        return F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key, F.length(key)).alias("h2")))
+def line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text) to (h1, h2, doc, pos) of every line whose key isn't empty.
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), hashed)
+    A key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased: what strip() and lower() do to bytes.
+    """
+    for b in batches:
+        docs = b.column("doc").to_numpy()
+        keys = [[x.strip().lower() for x in t.encode().split(b"\n")] if t else [] for t in b.column("text").to_pylist()]
+        pos = [[k for k, x in enumerate(ks) if x] for ks in keys]
+        h = np.frombuffer(b"".join([xxh3_128_digest(x) for ks in keys for x in ks if x]), dtype=np.int64).reshape(-1, 2)
+        flat = np.fromiter((k for ps in pos for k in ps), dtype=np.int32, count=len(h))
+        yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.repeat(docs, [len(x) for x in pos])), pa.array(flat)], names=["h1", "h2", "doc", "pos"])
 
 
 def _stream(min_docs: int, keep: str):
@@ -96,7 +99,8 @@ def dropped_lines(documents: DataFrame, min_docs: int = 10, keep: str = "none")
     if keep not in ("none", "first") or min_docs < 1:
         raise ValueError("keep is none or first, min_docs 1 or more")
     spark = documents.sparkSession
-    lines = documents.select(row_key("doc_id", "text").alias("doc"), F.posexplode(line_keys(F.col("text"))).alias("pos", "h")).where("h is not null").select("h.h1", "h.h2", "doc", "pos")
+    tune(spark)
+    lines = documents.select(row_key("doc_id", "text").alias("doc"), "text").mapInArrow(line_hashes, "h1 long, h2 long, doc long, pos int")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = lines.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     marks = cut(ordered.mapInArrow(_stream(min_docs, keep), _MARK))
