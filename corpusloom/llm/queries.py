@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup, pieces, quality, token_counts, topk, toxicity, url_filter
+from corpusloom.llm import line_dedup, mixing, pieces, quality, token_counts, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, with its source's size and target."""
+    mix = mixing.Mix(_table(spark, sf_dir, "documents"))
+    known = spark.createDataFrame([(s.name, s.size, s.target) for s in mix.sources], "name string, source_size long, target double")
+    rows = mix.taken()
+    return rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["name"])).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's counts, base verdict and the verdict with the limits on repeated substrings."""
     return quality.judge(_table(spark, sf_dir, "documents")).drop("longest_repeat", "n_long_repeat_words")
@@ -130,6 +138,7 @@ SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_source_mixing": op2_source_mixing,
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filter": op4_url_filter,
         "op5_toxicity": op5_toxicity,
