@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup, mixing, pieces, quality, token_counts, topk, toxicity, url_filter
+from corpusloom.llm import html_text, line_dedup, mixing, pieces, quality, token_counts, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, model).select("doc_id", (toxicity.held_out_remainder() == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text under the word-level BPE vocabulary."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
@@ -142,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filter": op4_url_filter,
         "op5_toxicity": op5_toxicity,
+        "op6_html_extraction": op6_html_extraction,
         "op8_token_counts": op8_token_counts,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_top_k": op10_exact_top_k,
