@@ -248,13 +248,23 @@ def encode(documents: DataFrame, model_path: str, carry: tuple[str, ...] = ("doc
     return _encoded(documents, model_path, carry, ends, "ids array<int>, decoded string", _lists, ["ids", "decoded"])
 
 
-def _lists(pieces: Pieces, packed: list[bytes]) -> list[pa.Array]:
+def sequences(documents: DataFrame, model_path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """As encode() with begin and end ids, but n_tokens, ids and exact: whether decoding the ids gives the text back."""
+    return _encoded(documents, model_path, carry, True, "n_tokens long, ids array<int>, exact boolean", _checked, ["n_tokens", "ids", "exact"])
+
+
+def _checked(pieces: Pieces, packed: list[bytes], texts: list[str | None]) -> list[pa.Array]:
+    ids, decoded = _lists(pieces, packed, texts)
+    return [pa.array([len(x) // 4 for x in packed], pa.int64()), ids, pa.array([a == (b or "") for a, b in zip(decoded.to_pylist(), texts, strict=True)], pa.bool_())]
+
+
+def _lists(pieces: Pieces, packed: list[bytes], texts: list[str | None]) -> list[pa.Array]:
     offsets = pa.array(accumulate((len(x) // 4 for x in packed), initial=0), pa.int32())
     values = pa.Array.from_buffers(pa.int32(), sum(map(len, packed)) // 4, [None, pa.py_buffer(b"".join(packed))])
     return [pa.ListArray.from_arrays(offsets, values), pa.array([pieces.decode(memoryview(x).cast("I")) for x in packed], pa.string())]
 
 
-def _digests(pieces: Pieces, packed: list[bytes]) -> list[pa.Array]:
+def _digests(pieces: Pieces, packed: list[bytes], texts: list[str | None]) -> list[pa.Array]:
     from hashlib import sha256
 
     return [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([sha256(x).hexdigest() for x in packed]), pa.array([sha256(pieces.decode(memoryview(x).cast("I")).encode()).hexdigest() for x in packed])]
@@ -281,7 +291,8 @@ def _encoded(documents, model_path, carry, ends, made, finish, names) -> DataFra
         for b in batches:
             for at in range(0, b.num_rows, 100):  # ids of 100 documents at a time
                 part = b.slice(at, 100)
-                packed = [pieces.ids(t, ends) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *finish(pieces, packed)], names=[*carry, *names])
+                texts = part.column("text").to_pylist()
+                packed = [pieces.ids(t, ends) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *finish(pieces, packed, texts)], names=[*carry, *names])
 
     return rows.mapInArrow(go, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), made]))
