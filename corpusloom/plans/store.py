@@ -250,7 +250,7 @@ def without_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.without_benchmark(table(spark, sf, "documents").select(F.col("text").alias("q")), table(spark, sf, "benchmark").select(F.col("text").alias("q"))).agg(F.count("*").alias("n"))
 
 
-@query("commits_asof", f"WITH a AS (SELECT user_id % 20 AS s, ts, event_id AS name FROM events WHERE event_type <> 'purchase'), c AS (SELECT user_id % 20 AS s, ts AS at, event_id AS sha FROM events WHERE event_type = 'purchase'), e AS (SELECT s, max(ts) AS last_ts FROM a GROUP BY s), j AS (SELECT c.s, c.sha, c.at, (SELECT arg_max(a.name, (a.ts, lpad(a.name::VARCHAR, 9, '0'))) FROM a WHERE a.s = c.s AND a.ts <= c.at) AS name FROM c), k AS (SELECT j.*, row_number() OVER (PARTITION BY j.s, name ORDER BY at, lpad(sha::VARCHAR, 9, '0')) AS n FROM j JOIN e USING (s) WHERE name IS NOT NULL AND at <= last_ts + INTERVAL {K.COMMIT_TAIL_MINUTES} MINUTE) SELECT sha, name FROM k WHERE n <= {K.COMMITS_KEPT}")
+@query("commits_asof", f"WITH a AS (SELECT user_id % 20 AS s, ts, event_id AS name FROM events WHERE event_type <> 'purchase'), c AS (SELECT user_id % 20 AS s, ts AS c_at, event_id AS sha FROM events WHERE event_type = 'purchase'), e AS (SELECT s, max(ts) AS last_ts FROM a GROUP BY s), j AS (SELECT c.s, c.sha, c.c_at, (SELECT arg_max(a.name, (a.ts, lpad(a.name::VARCHAR, 9, '0'))) FROM a WHERE a.s = c.s AND a.ts <= c.c_at) AS name FROM c), k AS (SELECT j.*, row_number() OVER (PARTITION BY j.s, name ORDER BY c_at, lpad(sha::VARCHAR, 9, '0')) AS n FROM j JOIN e USING (s) WHERE name IS NOT NULL AND c_at <= last_ts + INTERVAL {K.COMMIT_TAIL_MINUTES} MINUTE) SELECT sha, name FROM k WHERE n <= {K.COMMITS_KEPT}")
 def commits_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Each commit goes to the last question before it."""
     e = table(spark, sf, "events").withColumn("session_id", (F.col("user_id") % 20).cast("string")).withColumn("id", F.lpad(F.col("event_id").cast("string"), 9, "0"))
