@@ -101,7 +101,8 @@ def link_edges(docs: DataFrame) -> DataFrame:
     """corpus, src, slug, dst: each link resolved by name, else by file name without .md; dst null if neither exists. No links to self."""
     found = docs.select("corpus", F.col("name").alias("src"), F.explode(wikilinks("body")).alias("slug"))
     names = docs.select("corpus", F.col("name").alias("slug"), F.col("name").alias("by_name"))
-    files = docs.select("corpus", F.regexp_replace(F.coalesce("file", "name"), r"\.md$", "").alias("slug"), "name").groupBy("corpus", "slug").agg(F.min("name").alias("by_file"))
+    file = F.coalesce("file", "name") if "file" in docs.columns else F.col("name")
+    files = docs.select("corpus", F.regexp_replace(file, r"\.md$", "").alias("slug"), "name").groupBy("corpus", "slug").agg(F.min("name").alias("by_file"))
     edges = found.join(names, ["corpus", "slug"], "left").join(files, ["corpus", "slug"], "left").select("corpus", "src", "slug", F.coalesce("by_name", "by_file").alias("dst"))
     return edges.where("dst is null or dst <> src")
 

@@ -127,12 +127,17 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.coalesce("c.title", F.lit("untitled")).alias("title"), F.col("c.create_time").alias("create_time"), F.array_join(lines, "\n\n").alias("text")).where("text <> ''")
 
 
+def _typed(turns: DataFrame) -> DataFrame:
+    """Turns that a person typed. turns: session_id, line_no, role, text."""
+    return turns.where((F.col("role") == "user") & ~is_machine_turn(F.col("text")))
+
+
 def origin_task(turns: DataFrame) -> DataFrame:
     """session_id, task: the first sentence (80 characters at most) of the first human turn."""
-    rows = turns.where(~is_machine_turn(F.col("text"))).groupBy("session_id").agg(F.min_by("text", "line_no").alias("t"))
+    rows = _typed(turns).groupBy("session_id").agg(F.min_by("text", "line_no").alias("t"))
     return rows.select("session_id", F.substring(F.trim(F.regexp_extract("t", r"(?s)^(.*?)(?:[.!?](?:\s|$)|\n|$)", 1)), 1, 80).alias("task"))
 
 
 def last_prompt(turns: DataFrame) -> DataFrame:
     """session_id, prompt: the last human turn."""
-    return turns.where(~is_machine_turn(F.col("text"))).groupBy("session_id").agg(F.max_by("text", "line_no").alias("prompt"))
+    return _typed(turns).groupBy("session_id").agg(F.max_by("text", "line_no").alias("prompt"))
