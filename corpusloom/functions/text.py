@@ -30,11 +30,11 @@ def stem(t: Column) -> Column:
 def tokenize(text: Column | str) -> Column:
     """Search terms in order: compounds and their parts, without stop words and single characters, stemmed. Null has none."""
     clean = F.regexp_replace(F.lower(F.coalesce(_col(text), F.lit(""))), "[`*_~>#|]", " ")
-    raw = F.transform(F.split(clean, "[^a-z0-9.+/-]+"), lambda t: F.regexp_replace(t, r"^[.\-/+]+|[.\-/+]+$", ""))
+    raw = F.transform(F.split(clean, "[^a-z0-9.+/-]+"), lambda t: F.btrim(t, F.lit(".-/+")))
 
     def with_parts(t: Column) -> Column:
         parts = F.filter(F.split(t, r"[.\-/]"), lambda p: F.length(p) > 1)
-        return F.when(F.size(parts) > 1, F.concat(F.array(t), parts)).otherwise(F.array(t))
+        return F.when(~t.rlike(r"[.\-/]"), F.array(t)).when(F.size(parts) > 1, F.concat(F.array(t), parts)).otherwise(F.array(t))
 
     every = F.flatten(F.transform(F.filter(raw, lambda t: t != ""), with_parts))
     return F.transform(F.filter(every, lambda t: (F.length(t) > 1) & ~t.isin(*K.STOP_WORDS)), stem)

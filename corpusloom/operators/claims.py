@@ -1,0 +1,198 @@
+"""Claims in documents: drafts of probes, corrections, durable writes, migrations, and what goes beside a page of results."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpusloom import constants as K
+from corpusloom.operators.sizes import small
+from corpusloom.operators.structure import lines
+
+# Phrases by which an answer takes back a claim, confirms one, or only announces a correction.
+CORRECTION = r"(?i)\b(?:i was wrong|i were wrong|i got .{0,20}wrong|that was wrong|correction:|i owe you a correction|i misread|i misremembered|i was mistaken|no longer (?:true|the case|accurate)|scratch that|(?:my|the|that|my earlier|my last) [a-z ]{0,24}(?:claim|comment|answer|statement|note|advice|reading|assumption)[a-z ]{0,12} was wrong)\b"
+CONFIRMATION = r"(?i)\b(?:the )?memor(?:y|ies)(?: note| file)? (?:says|said|does record|records|has|is right|was right)\b"
+PREAMBLE = r"(?i)\b(?:let me (?:check|verify|look|re-?read|confirm)|before i answer|i'll check|going to check)\b"
+
+# Places that don't last, and endings by kind.
+PASSING = r"^/tmp(?:/|$)|^/private/tmp(?:/|$)|(?i:(?:^|/)scratchpad(?:/|$))|(?:^|/)node_modules(?:/|$)|(?:^|/)\.git(?:/|$)|(?i:\.(?:memory|staging)-index\.json$|\.zip$)"
+DOC_ENDINGS = r"(?i)\.(?:md|txt|rst)$"
+CODE_ENDINGS = r"(?i)\.(?:js|mjs|cjs|ts|tsx|jsx|py|sh|bash|zsh|rb|go|rs|c|h|cpp|java|swift|html|css|scss|json|yml|yaml|toml|xml|sql|ipynb)$"
+
+
+def assistant_half(body: Column) -> Column:
+    """What follows the paragraph of the **Asked:** mark; the whole body without one; nothing if nothing follows."""
+    at = F.locate("**Asked:**", body)
+    rest = F.substring(body, at, F.length(body))
+    gap = F.instr(rest, "\n\n")
+    return F.when(F.coalesce(at, F.lit(0)) == 0, F.coalesce(body, F.lit(""))).when(gap == 0, "").otherwise(F.substr(rest, gap + 2))
+
+
+def corrects(body: Column) -> Column:
+    """Whether the reply in a body takes something back, and neither confirms what was noted nor only announces it."""
+    half = assistant_half(body)
+    return half.rlike(CORRECTION) & ~half.rlike(CONFIRMATION) & ~half.rlike(PREAMBLE)
+
+
+def is_durable(path: Column) -> Column:
+    return (F.coalesce(path, F.lit("")) != "") & ~path.rlike(PASSING)
+
+
+def kind_of(path: Column) -> Column:
+    """kb, memory, doc, code or other; the folder goes before the ending."""
+    return (
+        F.when(path.rlike(r"(?i)/knowledge-base/"), "kb").when(path.rlike(r"/memory/|/MEMORY\.md$"), "memory")
+        .when(path.rlike(DOC_ENDINGS), "doc").when(path.rlike(CODE_ENDINGS), "code").otherwise("other")
+    )
+
+
+def durable_writes(writes: DataFrame, prose: DataFrame, shortest: int = 12) -> DataFrame:
+    """session_id, path, kind, named: each durable path written in a session, and whether the session's prose names it: in full, or by a
+    base name of `shortest` characters that only this path of the session has. writes: session_id, path. prose: session_id, text."""
+    own = writes.where(is_durable(F.col("path"))).select("session_id", "path").distinct().withColumn("base", F.regexp_extract("path", r"([^/]+)$", 1))
+    own = own.withColumn("alike", F.count("*").over(Window.partitionBy("session_id", "base")))
+    held = F.contains("text", F.col("path")) | ((F.length("base") >= shortest) & (F.col("alike") == 1) & F.contains("text", F.col("base")))
+    named = own.join(prose, "session_id").where(held).select("session_id", "path").distinct().withColumn("named", F.lit(True))
+    return own.join(named, ["session_id", "path"], "left").select("session_id", "path", kind_of(F.col("path")).alias("kind"), F.coalesce("named", F.lit(False)).alias("named"))
+
+
+def probe_proposals(docs: DataFrame, most: int = 3) -> DataFrame:
+    """corpus, name, place, probe, evidence: up to `most` drafts from each document that has no probe: tags beside commits, local URLs and
+    absolute paths, outside fences. docs: corpus, name, body, probe."""
+    rows = lines(docs.where("probe is null")).where(~F.col("fenced"))
+    tag = F.regexp_extract("line", r"(?i)\btag(?:ged)?\s+`?(v[0-9][\w.-]*)`?", 1)
+    sha = F.regexp_extract("line", r"\b([0-9a-f]{7,10})\b", 1)
+    url = F.regexp_extract("line", r"(https?://(?:localhost|127\.0\.0\.1)(?::\d+)?[^\s)`\"']*)", 1)
+    path = F.regexp_extract("line", r"(?:^|[\s`(])(/(?:[\w.-]+/)+[\w.-]+\.\w{1,5})\b", 1)
+    drafts = F.filter(
+        F.array(F.when((tag != "") & (sha != ""), F.concat(F.lit("git_tag_exists "), tag)), F.when((url != "") & ~F.col("line").rlike(r"(?i)origin\s*:"), F.concat(F.lit("http_status "), url)), F.when((path != "") & ~path.rlike("^/(?:tmp|private/tmp)/"), F.concat(F.lit("file_exists "), path))),
+        lambda x: x.isNotNull(),
+    )
+    found = rows.select("corpus", "name", "line_no", F.col("line").alias("evidence"), F.posexplode(drafts).alias("k", "probe")).where(~F.contains("probe", F.lit("<repo>")))
+    found = found.groupBy("corpus", "name", "probe").agg(F.min_by("evidence", F.struct("line_no", "k")).alias("evidence"), F.min(F.struct("line_no", "k")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("corpus", "name").orderBy("at", "probe"))
+    return found.withColumn("place", place).where(F.col("place") <= most).select("corpus", "name", "place", "probe", "evidence")
+
+
+def vacuous(probe: Column, expected: Column) -> Column:
+    """A count of a bare name that only has to be there: it stays fresh however the name's value changes."""
+    return probe.startswith("grep_count ") & expected.rlike(r"^\s*(?:>=\s*1|>\s*0)\s*$") & probe.rlike(r"^grep_count\s+[A-Za-z_][A-Za-z0-9_]*\s+::\s+\S+$")
+
+
+def curation_queue(secrets: DataFrame, collisions: DataFrame, superseded: DataFrame, undescribed: DataFrame, proposals: DataFrame, most: int = 200, drafts: int = 5) -> DataFrame:
+    """kind, name, detail: one queue of all kinds in a fixed order, `most` in all and `drafts` proposals. Each has name and detail."""
+    kinds = (("secret-review", secrets), ("name-collision", collisions), ("supersession-candidate", superseded), ("write-description", undescribed), ("probe-proposal", proposals.orderBy("name", "detail").limit(drafts)))
+    every = reduce(DataFrame.unionByName, (df.select(F.lit(i).alias("_k"), F.lit(kind).alias("kind"), "name", "detail") for i, (kind, df) in enumerate(kinds)))
+    return every.orderBy("_k", "name", "detail").limit(most).drop("_k")
+
+
+def accepted_secrets(found: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Findings (name, hash) that weren't accepted for the very text: a changed hash opens them again. accepted: name, hash."""
+    return found.join(accepted.select("name", "hash").distinct(), ["name", "hash"], "left_anti")
+
+
+def migration_plan(names: DataFrame) -> DataFrame:
+    """old, new, problem of a renaming (old, new, session_id, position): new names that meet, or that change a session's order."""
+    meets = F.count("*").over(Window.partitionBy("new")) > 1
+    w = Window.partitionBy("session_id")
+    moved = F.row_number().over(w.orderBy("new")) != F.row_number().over(w.orderBy("position"))
+    return names.withColumn("problem", F.when(meets, "not unique").when(moved, "order")).select("old", "new", "problem")
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """file, change, held: added, modified and deleted files by hash; deletions are held back for a decision."""
+    a, b = before.select("file", F.col("hash").alias("_a")), after.select("file", F.col("hash").alias("_b"))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "deleted").when(F.col("_a") != F.col("_b"), "modified")
+    return a.join(b, "file", "full_outer").select("file", change.alias("change")).where("change is not null").withColumn("held", F.col("change") == "deleted")
+
+
+def label_warning(docs: DataFrame, column: str, wanted: list[str], most: int = 6) -> DataFrame:
+    """known: up to `most` labels that the corpus has, if none of its rows has a wanted one; else no row."""
+    found = docs.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    known = found.agg(F.slice(F.array_sort(F.collect_set(column)), 1, most).alias("known"), F.max(F.col(column).isin(*wanted)).alias("hit"))
+    return known.where(~F.coalesce("hit", F.lit(False))).select("known")
+
+
+def recency_void(files: DataFrame, page: DataFrame) -> DataFrame:
+    """query_id, void: whether an unread changed file is newer than the newest row of the page. files: file_id, state, mtime."""
+    newest = files.where(F.col("state").isin("changed", "added")).agg(F.max("mtime").alias("unread"))
+    return page.groupBy("query_id").agg(F.max("when").alias("newest")).join(F.broadcast(newest)).select("query_id", F.coalesce(F.col("unread") > F.col("newest"), F.lit(False)).alias("void"))  # one row
+
+
+def identifier_check(asked: DataFrame, known: DataFrame, timed_out: DataFrame | None = None, most: int = 4) -> DataFrame:
+    """query_id, identifier, found (true, false, or null for unknown): the first `most` identifiers of a query against those of repositories."""
+    first = asked.select("query_id", F.posexplode(F.slice("identifiers", 1, most)).alias("at", "identifier"))
+    k = known.select("identifier").distinct().withColumn("found", F.lit(True))
+    rows = first.join(k, "identifier", "left")
+    if timed_out is not None:
+        rows = rows.join(timed_out.select("identifier").distinct().withColumn("_late", F.lit(True)), "identifier", "left")
+    else:
+        rows = rows.withColumn("_late", F.lit(None).cast("boolean"))
+    return rows.select("query_id", "identifier", F.when(F.col("found"), True).when(F.col("_late"), F.lit(None)).otherwise(F.lit(False)).alias("found"))
+
+
+def live_secrets_out(page: DataFrame, secrets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(page without rows that are secret by now, query_id and withheld)."""
+    kept = page.join(secrets.select("name").distinct(), "name", "left_anti")
+    gone = page.join(secrets.select("name").distinct(), "name", "left_semi").groupBy("query_id").agg(F.count("*").alias("withheld"))
+    return kept, gone
+
+
+def without_pool_sessions(turns: DataFrame, scheduled: str) -> DataFrame:
+    """Turns of sessions whose first user turn doesn't start a scheduled task (a pattern)."""
+    first = turns.where("role = 'user'").groupBy("session_id").agg(F.min_by("text", "line_no").alias("t")).where(F.col("t").rlike(scheduled)).select("session_id")
+    return turns.join(first, "session_id", "left_anti")
+
+
+def with_key_facts(docs: DataFrame, facts: DataFrame, most: int = 3) -> DataFrame:
+    """docs with key_facts: facts (name, facts array) of their own name, 3 to 400 characters each, `most` at most."""
+    good = F.slice(F.filter(F.transform("facts", lambda x: F.trim(x)), lambda x: F.length(x).between(3, 400)), 1, most)
+    return docs.join(facts.select("name", good.alias("key_facts")), "name", "left").withColumn("key_facts", F.coalesce("key_facts", F.array().cast("array<string>")))
+
+
+def probe_file_terms(terms: DataFrame, files: DataFrame, shortest: int = 3, most: int = 4, budget: int | None = None) -> DataFrame:
+    """term, files: unmatchable terms (term) against names or texts of stale files (file, text, size): up to `most` each.
+
+    budget: bytes of files read in order of name; what lies beyond isn't read, and `truncated` says so.
+    """
+    if budget is not None:
+        upto = F.sum("size").over(Window.orderBy("file"))  # stale files of one check: a short list
+        files = files.withColumn("_u", upto)
+        cut = files.agg((F.max("_u") > budget).alias("truncated"))
+        files = files.where(F.col("_u") <= budget)
+    t = small(terms.where(F.length("term") >= shortest).select("term").distinct())
+    hits = files.join(t, F.contains(F.lower("file"), F.col("term")) | F.contains(F.lower("text"), F.col("term")))
+    out = hits.groupBy("term").agg(F.slice(F.array_sort(F.collect_set("file")), 1, most).alias("files"))
+    return out.join(F.broadcast(cut)) if budget is not None else out  # one row
+
+
+def account_of(meta: Column, root: Column, path: Column) -> Column:
+    """A document's own account; else its root's; else the folder after /accounts/ in its path."""
+    return F.coalesce(meta, root, F.nullif(F.regexp_extract(path, r"/accounts/([^/]+)/", 1), F.lit("")))
+
+
+def project_label(folder: Column) -> Column:
+    """The last three dash-separated parts of a project's folder name, 40 characters at most."""
+    return F.substring(F.substring_index(folder, "-", -3), 1, 40)
+
+
+def domain_advice(override: Column, asked: Column, profile: Column) -> Column:
+    """struct(domain, basis): what to advise by: the setting, else a query that looks technical, else the corpus's profile."""
+    return F.struct(
+        F.coalesce(override, F.when(asked, F.lit("code")), profile).alias("domain"),
+        F.when(override.isNotNull(), "override").when(F.coalesce(asked, F.lit(False)), "query").otherwise("profile").alias("basis"),
+    )
+
+
+def report(log: DataFrame) -> DataFrame:
+    """A query log's summary, a row for each caller: questions, misses, and the share of misses (4 decimals). log: as for questions(), with caller."""
+    key = F.coalesce("query_id", F.concat(F.lit("legacy:"), "q"))
+    each = log.groupBy("caller", key.alias("question")).agg(F.bool_and("failed").alias("failed"))
+    return each.groupBy("caller").agg(F.count("*").alias("questions"), F.count_if("failed").alias("misses")).withColumn("miss_share", F.round(F.col("misses") / F.col("questions"), 4))
+
+
+def rescore_due(docs: DataFrame, as_of: Column) -> DataFrame:
+    """Curated documents that haven't changed since, and were last scored more than a week ago. docs: hash, curated_hash, curated_at."""
+    return docs.where((F.col("hash") == F.col("curated_hash")) & (F.unix_seconds(as_of) - F.unix_seconds("curated_at") > K.RESCORE_DAYS * 86400))

@@ -17,21 +17,24 @@ from pyspark.sql.window import Window
 from corpusloom import constants as K
 from corpusloom.functions.scoring import absolute_keyword, idf, saturated
 from corpusloom.functions.text import tokenize
+from corpusloom.operators.sizes import small
 
-#: Query terms up to this number are broadcast; more meet the postings by a shuffle on the term.
-BROADCAST_TERMS = 100_000
 
 
 @dataclass(frozen=True)
 class Model:
-    """postings: corpus, term, name, w (tf over length norms); df: corpus, term, df (distinct files); stats: corpus, n_docs, avg lengths."""
+    """postings: corpus, term, name, w (tf over length norms); df: corpus, term, df (distinct files); stats: corpus, n_docs, avg lengths.
+
+    counted: the persisted term counts that all three derive from, so that a corpus is tokenised once. release() gives them up.
+    """
 
     postings: DataFrame
     df: DataFrame
     stats: DataFrame
+    counted: DataFrame
 
-    def persist(self) -> Model:
-        return Model(self.postings.persist(), self.df.persist(), self.stats.persist())
+    def release(self) -> None:
+        self.counted.unpersist()
 
 
 def weighted_terms(docs: DataFrame) -> DataFrame:
@@ -59,14 +62,14 @@ def build_model(docs: DataFrame) -> Model:
     """docs: corpus, name, description, body, and optionally file, headings, key_facts."""
     if "file" not in docs.columns:
         docs = docs.withColumn("file", F.col("name"))
-    tf = weighted_terms(docs).groupBy("corpus", "name", "file", "group", "term").agg(F.sum("weight").alias("tf"))
+    tf = weighted_terms(docs).groupBy("corpus", "name", "file", "group", "term").agg(F.sum("weight").alias("tf")).persist()
     lengths = tf.groupBy("corpus", "name").agg(*(F.sum(F.when(F.col("group") == g, F.col("tf")).otherwise(0.0)).alias(f"len{g}") for g in range(3)))
     sizes = docs.groupBy("corpus").agg(F.count("*").alias("n_rows"), F.count_distinct(F.coalesce("file", "name")).alias("n_docs"))
     sums = lengths.groupBy("corpus").agg(*(F.sum(f"len{g}").alias(f"sum{g}") for g in range(3)))
     stats = sizes.join(sums, "corpus", "left").select("corpus", "n_docs", *(F.when(F.coalesce(F.col(f"sum{g}"), F.lit(0.0)) > 0, F.col(f"sum{g}") / F.col("n_rows")).otherwise(1.0).alias(f"avg{g}") for g in range(3)))
     norm = F.when(F.col("group") == 0, F.col("len0") / F.col("avg0")).when(F.col("group") == 1, F.col("len1") / F.col("avg1")).otherwise(F.col("len2") / F.col("avg2"))
-    postings = tf.join(lengths, ["corpus", "name"]).join(F.broadcast(stats), "corpus").groupBy("corpus", "term", "name", "file").agg(F.sum(F.col("tf") / (1 - K.B + K.B * norm)).alias("w"))
-    return Model(postings, postings.groupBy("corpus", "term").agg(F.count_distinct("file").alias("df")), stats)
+    postings = tf.join(lengths, ["corpus", "name"]).join(small(stats), "corpus").groupBy("corpus", "term", "name", "file").agg(F.sum(F.col("tf") / (1 - K.B + K.B * norm)).alias("w"))
+    return Model(postings, postings.groupBy("corpus", "term").agg(F.count_distinct("file").alias("df")), stats, tf)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -74,25 +77,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokenize("query"))).alias("term"))
 
 
-def _held(terms: DataFrame, n: int | None) -> DataFrame:
-    return F.broadcast(terms) if n is not None and n <= BROADCAST_TERMS else terms
-
-
-def keyword_scores(model: Model, queries: DataFrame, n_queries: int | None = None) -> DataFrame:
+def keyword_scores(model: Model, queries: DataFrame) -> DataFrame:
     """query_id, corpus, name, raw: BM25F scores of documents with at least one term of the query.
 
-    n_queries: the number of queries, if it is known; small sets of terms are then broadcast instead of shuffled.
+    Few query terms are broadcast to the postings; many meet them by a shuffle on the term.
     """
-    terms = _held(query_terms(queries), None if n_queries is None else n_queries * 20)
+    terms = small(query_terms(queries), 100_000)
     hits = model.postings.join(terms, "term")
-    weighed = hits.join(model.df, ["corpus", "term"]).join(F.broadcast(model.stats.select("corpus", "n_docs")), "corpus")
+    weighed = hits.join(model.df, ["corpus", "term"]).join(small(model.stats.select("corpus", "n_docs")), "corpus")
     return weighed.groupBy("query_id", "corpus", "name").agg(F.sum(idf(F.col("n_docs"), F.col("df")) * saturated(F.col("w"))).alias("raw"))
 
 
 def term_statistics(model: Model, queries: DataFrame) -> DataFrame:
     """query_id, corpus, ideal, ideal_full, orphan_share, present, absent, orphans (sorted): one row for each query and corpus."""
     terms = query_terms(queries)
-    grid = terms.crossJoin(F.broadcast(model.stats.select("corpus", "n_docs")))  # a row for each corpus, not for each document
+    grid = terms.join(small(model.stats.select("corpus", "n_docs")))  # a row for each corpus, not for each document
     known = grid.join(model.df, ["corpus", "term"], "left")
     both = F.col("df").isNotNull()
     every = known.groupBy("query_id", "corpus", "n_docs").agg(

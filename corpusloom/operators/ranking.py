@@ -9,15 +9,7 @@ from corpusloom import constants as K
 from corpusloom.functions import scoring as S
 from corpusloom.functions.text import trim_snippet
 from corpusloom.operators.lexical import phrase_scores
-
-#: Query vectors up to this number are broadcast to the chunks (about 30 MB at 384 dimensions); more are joined by a shuffle.
-QUERY_BLOCK = 10_000
-
-
-def _blocked(queries: DataFrame) -> DataFrame:
-    """Queries are counted, then broadcast if they are few."""
-    return F.broadcast(queries) if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else queries
-
+from corpusloom.operators.sizes import small
 
 def semantic_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, corpus, name, cosine, semantic, text: each document's best chunk or summary vector for each query.
@@ -26,7 +18,7 @@ def semantic_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     that of the summary only if there is no chunk. Documents of no similarity above the scale's floor are left out.
     """
     q = queries.select("query_id", F.col("vec").alias("qvec"))
-    pairs = vectors.join(_blocked(q), F.size("vec") == F.size("qvec")).withColumn("cosine", S.dot(F.col("vec"), F.col("qvec")))
+    pairs = vectors.join(small(q), F.size("vec") == F.size("qvec")).withColumn("cosine", S.dot(F.col("vec"), F.col("qvec")))
     best = pairs.groupBy("query_id", "corpus", "name").agg(
         F.max("cosine").alias("cosine"),
         F.max_by(F.when(F.col("chunk_ix").isNotNull(), F.col("text")), F.when(F.col("chunk_ix").isNotNull(), F.struct("cosine", -F.col("chunk_ix")))).alias("chunk"),
@@ -75,7 +67,7 @@ def fuse(found: DataFrame, docs: DataFrame, reference: DataFrame, as_of: Column,
     found: candidates(). docs: filtered documents: corpus, name, body, tier, in_memory_index, modified, n_chunks. matched: query_id, corpus,
     present; without it there is no phrase leg. Ties: higher base first, then by name.
     """
-    rows = found.join(docs, ["corpus", "name"]).join(F.broadcast(reference), "corpus")
+    rows = found.join(docs, ["corpus", "name"]).join(small(reference), "corpus")
     ldf = S.long_doc_factor(F.col("n_chunks"), F.col("reference"), F.col("keyword"))
     rows = rows.withColumn("semantic", F.col("semantic") * ldf).withColumn("base1", K.FUSE_KEYWORD * F.col("keyword") + K.FUSE_SEMANTIC * F.col("semantic")).where("base1 > 0")
     first = Window.partitionBy("query_id", "corpus").orderBy(F.desc("base1"), "name")
@@ -139,7 +131,7 @@ def verdict(scored: DataFrame, scores: DataFrame, statistics: DataFrame, floors:
     if floors is None:
         v = v.withColumns({"score_floor": F.lit(K.SCORE_FLOOR), "coverage_floor": F.lit(K.VERDICT_COVERAGE)})
     else:
-        v = v.join(F.broadcast(floors), "corpus", "left").withColumns({"score_floor": F.coalesce("score_floor", F.lit(K.SCORE_FLOOR)), "coverage_floor": F.coalesce("coverage_floor", F.lit(K.VERDICT_COVERAGE))})
+        v = v.join(small(floors), "corpus", "left").withColumns({"score_floor": F.coalesce("score_floor", F.lit(K.SCORE_FLOOR)), "coverage_floor": F.coalesce("coverage_floor", F.lit(K.VERDICT_COVERAGE))})
     v = v.withColumn("coverage", F.when(F.col("ideal_full") > 0, F.coalesce("best_raw", F.lit(0.0)) / F.col("ideal_full")).otherwise(0.0))
     v = v.withColumn("effective_phrase", F.col("top_phrase") * F.least(F.lit(1.0), F.col("coverage") / F.col("coverage_floor")))
     weak = F.col("effective_phrase") < K.VERDICT_PHRASE
@@ -158,7 +150,7 @@ def verdict(scored: DataFrame, scores: DataFrame, statistics: DataFrame, floors:
 def nearest(vectors: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
     """name, neighbour, similarity, rank: the k nearest other documents by the best pair of their vectors, within a corpus."""
     t = targets.select("corpus", "name", F.col("vec").alias("tvec"))
-    pairs = vectors.select("corpus", F.col("name").alias("neighbour"), "vec").join(_blocked(t), "corpus").where("name <> neighbour")
+    pairs = vectors.select("corpus", F.col("name").alias("neighbour"), "vec").join(small(t), "corpus").where("name <> neighbour")
     best = pairs.groupBy("corpus", "name", "neighbour").agg(F.round(F.max(S.dot(F.col("vec"), F.col("tvec"))), 4).alias("similarity"))
     order = Window.partitionBy("corpus", "name").orderBy(F.desc("similarity"), "neighbour")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

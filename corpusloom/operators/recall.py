@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import constants as K
+from corpusloom.operators.sizes import small
 
 
 def query_words(query: Column) -> Column:
@@ -23,7 +24,7 @@ def term_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, corpus, name, ..., matched (terms the document holds as substrings), n: rows with one term or more."""
     q = queries.select("query_id", query_words(F.col("query")).alias("terms")).where(F.size("terms") > 0)
     hay = F.lower(F.concat_ws("\n", "name", "description", "body"))
-    rows = docs.withColumn("_hay", hay).crossJoin(F.broadcast(q))  # documents meet the asked queries, not each other
+    rows = docs.withColumn("_hay", hay).join(small(q))  # documents meet the asked queries, not each other
     rows = rows.withColumn("matched", F.filter("terms", lambda t: F.contains(F.col("_hay"), t))).where(F.size("matched") > 0)
     words = F.filter("matched", lambda t: F.regexp_like(F.col("_hay"), F.concat(F.lit("(?<![a-z0-9_])"), F.regexp_replace(t, r"([.\-])", r"\\$1"), F.lit("(?![a-z0-9_])"))))
     return rows.withColumns({"whole": words, "n": F.size("matched")}).drop("_hay")
@@ -59,7 +60,7 @@ def term_warnings(frequencies: DataFrame) -> DataFrame:
 
 def unmatchable(queries: DataFrame, frequencies: DataFrame, corpora: DataFrame) -> DataFrame:
     """query_id, corpus, unmatchable (sorted terms no document holds), rarest (of those held, the one in the fewest)."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(query_words(F.col("query")))).alias("term")).crossJoin(F.broadcast(corpora.select("corpus").distinct()))
+    asked = queries.select("query_id", F.explode(F.array_distinct(query_words(F.col("query")))).alias("term")).join(small(corpora.select("corpus").distinct()))
     known = asked.join(frequencies, ["query_id", "corpus", "term"], "left")
     return known.groupBy("query_id", "corpus").agg(F.array_sort(F.collect_list(F.when(F.col("df").isNull(), F.col("term")))).alias("unmatchable"), F.min_by(F.when(F.col("df").isNotNull(), F.col("term")), F.when(F.col("df").isNotNull(), F.struct("df", "term"))).alias("rarest"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as K
 from corpusloom.functions.scoring import matches_expected
 from corpusloom.functions.text import proseness, slug
+from corpusloom.operators.sizes import small
 
 
 def staleness(indexed: DataFrame, files: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def commits_since(commits: DataFrame, docs: DataFrame) -> DataFrame:
 
 def verified_shas(cited: DataFrame, commits: DataFrame, repos: DataFrame, per_row: int = 12) -> DataFrame:
     """name, sha, repo, subject: citations by prefix; of several repositories the first in repos (repo, place) wins."""
-    known = commits.join(F.broadcast(repos), "repo").withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(7), F.lit(10)), lambda n: F.substring(F.col("sha"), F.lit(1), n))))
+    known = commits.join(small(repos), "repo").withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(7), F.lit(10)), lambda n: F.substring(F.col("sha"), F.lit(1), n))))
     hits = cited.select("name", F.col("sha").alias("prefix")).join(known, "prefix")
     first = F.row_number().over(Window.partitionBy("name", "prefix").orderBy("place", "sha"))
     rows = hits.withColumn("_n", first).where("_n = 1")
@@ -252,7 +253,8 @@ def floors(scores: DataFrame, base_score: float = K.SCORE_FLOOR, base_coverage:
     """corpus, score_floor, coverage_floor: the base floors scaled by medians of self-queries against the reference corpus's."""
     m = scores.groupBy("corpus").agg(F.median("top_score").alias("score"), F.median("coverage").alias("cover"))
     ref = m.where(F.col("corpus") == reference).select(F.col("score").alias("s0"), F.col("cover").alias("c0"))
-    return m.join(F.broadcast(ref)).select("corpus", F.round(base_score * F.col("score") / F.col("s0"), 4).alias("score_floor"), F.round(base_coverage * F.col("cover") / F.col("c0"), 4).alias("coverage_floor"))
+    return m.join(F.broadcast(ref)).select(  # one row
+"corpus", F.round(base_score * F.col("score") / F.col("s0"), 4).alias("score_floor"), F.round(base_coverage * F.col("cover") / F.col("c0"), 4).alias("coverage_floor"))
 
 
 def even_sample(rows: DataFrame, key: str, n: int, group: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as K
 from corpusloom.functions import scoring as S
 from corpusloom.operators import lexical, ranking, recall, structure
+from corpusloom.operators.sizes import small
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import AS_OF, SQL_BM25, SQL_DOCS, SQL_QUERIES, SQL_WORDS, asked, documents, sql_tokens, table
 
@@ -24,7 +25,7 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query("bm25_top", SQL_BM25 + f"SELECT query_id, name, round(raw, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 4) DESC, name)::INTEGER AS rank FROM raw QUALIFY rank <= {K.LIMIT}")
 def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
     """The best documents of each query by BM25F."""
-    scores = lexical.keyword_scores(lexical.build_model(documents(spark, sf)), asked(spark), 4).withColumn("score", F.round("raw", 4))
+    scores = lexical.keyword_scores(lexical.build_model(documents(spark, sf)), asked(spark)).withColumn("score", F.round("raw", 4))
     ranked = scores.selectExpr("query_id", "name", "score", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank")
     return ranked.where(F.col("rank") <= K.LIMIT)
 
@@ -40,14 +41,14 @@ def query_term_stats(spark: SparkSession, sf: str) -> DataFrame:
 def keyword_absolute(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword scores on the absolute scale."""
     model = lexical.build_model(documents(spark, sf))
-    rows = lexical.absolute_scores(lexical.keyword_scores(model, asked(spark), 4), lexical.term_statistics(model, asked(spark)))
+    rows = lexical.absolute_scores(lexical.keyword_scores(model, asked(spark)), lexical.term_statistics(model, asked(spark)))
     return rows.select("query_id", "name", F.round("keyword", 4).alias("keyword"))
 
 
 @query("keyword_relative", SQL_BM25 + "SELECT query_id, name, round(raw / max(raw) OVER (PARTITION BY query_id), 4) AS keyword FROM raw")
 def keyword_relative(spark: SparkSession, sf: str) -> DataFrame:
     """Scores by the query's best."""
-    return lexical.relative_scores(lexical.keyword_scores(lexical.build_model(documents(spark, sf)), asked(spark), 4)).select("query_id", "name", F.round("keyword", 4).alias("keyword"))
+    return lexical.relative_scores(lexical.keyword_scores(lexical.build_model(documents(spark, sf)), asked(spark))).select("query_id", "name", F.round("keyword", 4).alias("keyword"))
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +58,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("vec"))
-    return asked(spark).select("query_id").join(F.broadcast(e))
+    return asked(spark).select("query_id").join(small(e))
 
 
 SQL_SEM = f"sem AS (SELECT 'doc-' || c.vec_id AS name, least(1, greatest(0, (list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) - {K.SEMANTIC_FLOOR}) / {K.SEMANTIC_SPAN})) AS semantic FROM embeddings c, embeddings q WHERE q.vec_id = 0 AND c.vec_id <> 0)"
@@ -69,17 +70,17 @@ def dense_scores(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.semantic_scores(_vectors(spark, sf), _query_vectors(spark, sf)).select("query_id", "name", F.round("semantic", 4).alias("semantic"))
 
 
-@query("nearest", "WITH p AS (SELECT 'doc-' || t.vec_id AS name, 'doc-' || c.vec_id AS neighbour, round(list_dot_product(c.embedding::DOUBLE[], t.embedding::DOUBLE[]), 4) AS similarity FROM embeddings t JOIN embeddings c ON t.vec_id <> c.vec_id WHERE t.vec_id % 100 = 1 AND c.vec_id <> 0) SELECT name, neighbour, similarity, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, neighbour)::INTEGER AS rank FROM p QUALIFY rank <= 3")
+@query("nearest", "WITH p AS (SELECT 'doc-' || t.vec_id AS name, 'doc-' || c.vec_id AS neighbour, round(list_dot_product(c.embedding::DOUBLE[], t.embedding::DOUBLE[]), 4) AS similarity FROM embeddings t JOIN embeddings c ON t.vec_id <> c.vec_id WHERE t.vec_id <> 0 AND c.vec_id <> 0) SELECT name, neighbour, similarity, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, neighbour)::INTEGER AS rank FROM p QUALIFY rank <= 3")
 def nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """Three nearest neighbours of the documents asked for."""
+    """Three nearest neighbours of each document."""
     v = _vectors(spark, sf)
-    return ranking.nearest(v, v.where("cast(substr(name, 5) as int) % 100 = 1")).select("name", "neighbour", "similarity", "rank")
+    return ranking.nearest(v, v).select("name", "neighbour", "similarity", "rank")
 
 
 def _fused(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = documents(spark, sf).withColumn("n_chunks", F.size(structure.chunks("body")))
     model = lexical.build_model(docs)
-    scores, stats = lexical.keyword_scores(model, asked(spark), 4), lexical.term_statistics(model, asked(spark))
+    scores, stats = lexical.keyword_scores(model, asked(spark)), lexical.term_statistics(model, asked(spark))
     found = ranking.candidates(lexical.absolute_scores(scores, stats), ranking.semantic_scores(_vectors(spark, sf), _query_vectors(spark, sf)))
     rows = ranking.fuse(found, docs.select("corpus", "name", "file", "body", "tier", "in_memory_index", "modified", "n_chunks"), ranking.reference_chunks(docs), F.lit(AS_OF).cast("timestamp"))
     return rows, scores, stats
@@ -138,16 +139,16 @@ def graph_spread(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.spread(_fused(spark, sf)[0], edges).select("query_id", "name", "score", "gain", "rank")
 
 
-@query("phrase_scores", SQL_BM25 + f""", hit AS (SELECT doc_id, i, term, q.query_id, q.n FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {sql_tokens('body')} AS t FROM docs WHERE doc_id % 5 = 0)) x
+@query("phrase_scores", SQL_BM25 + f""", hit AS (SELECT doc_id, i, term, q.query_id, q.n FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {sql_tokens('body')} AS t FROM docs)) x
   JOIN (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n FROM qs WHERE df IS NOT NULL) q USING (term)),
-win AS (SELECT a.query_id, a.doc_id, a.i AS l, b.i AS r, a.n FROM hit a JOIN hit b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 40),
+win AS (SELECT a.query_id, a.doc_id, a.i AS l, b.i AS r, a.n FROM hit a JOIN hit b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 220),
 sw AS (SELECT w.query_id, w.doc_id, w.l, w.r, w.n, count(DISTINCT h.term) AS k FROM win w JOIN hit h ON h.query_id = w.query_id AND h.doc_id = w.doc_id AND h.i BETWEEN w.l AND w.r GROUP BY ALL)
 SELECT query_id, doc_id, round(max(pow(k / n::DOUBLE, 2) * k / (r - l + 1)), 4) AS phrase FROM sw WHERE n >= 2 GROUP BY query_id, doc_id""", heavy=True)
 def phrase_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The densest window of a query's terms in each document; the oracle is a relational self-join."""
     docs = documents(spark, sf)
     stats = lexical.term_statistics(lexical.build_model(docs), asked(spark))
-    pairs = docs.where("doc_id % 5 = 0").select("doc_id", "body").join(F.broadcast(stats.select("query_id", F.col("present").alias("terms"))))
+    pairs = docs.select("doc_id", "body").join(small(stats.select("query_id", F.col("present").alias("terms"))))
     return lexical.phrase_scores(pairs).where("phrase > 0").select("query_id", "doc_id", F.round("phrase", 4).alias("phrase"))
 
 

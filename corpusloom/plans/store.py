@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as K
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
-from corpusloom.operators import ranking, recall, structure, upkeep
+from corpusloom.operators import claims, ranking, recall, structure, upkeep
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import EPOCH, SQL_DOCS, SQL_WORDS, documents, table
 
@@ -361,10 +361,10 @@ def work_queue(spark: SparkSession, sf: str) -> DataFrame:
     return upkeep.work_queue(docs, upkeep.telemetry(_top_lists(spark, sf))).withColumn("worst_rank", F.col("worst_rank").cast("int")).withColumn("priority", F.col("priority").cast("long"))
 
 
-@query("superseded", "WITH d AS (SELECT 'doc-' || vec_id AS name, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 1), p AS (SELECT a.name AS x, b.name AS y, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 4) AS s, row_number() OVER (PARTITION BY a.name ORDER BY round(list_dot_product(a.e, b.e), 4) DESC, b.name) AS r FROM d a JOIN d b ON a.name <> b.name) SELECT x AS newer, y AS older, s AS similarity FROM p WHERE r <= 3 AND s >= 0.1 AND j > i")
+@query("superseded", "WITH d AS (SELECT 'doc-' || vec_id AS name, vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.name AS x, b.name AS y, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e), 4) AS s, row_number() OVER (PARTITION BY a.name ORDER BY round(list_dot_product(a.e, b.e), 4) DESC, b.name) AS r FROM d a JOIN d b ON a.name <> b.name) SELECT x AS newer, y AS older, s AS similarity FROM p WHERE r <= 3 AND s >= 0.1 AND j > i")
 def superseded(spark: SparkSession, sf: str) -> DataFrame:
     """Alike documents of which one is older (here, has the larger id)."""
-    v = table(spark, sf, "embeddings").where("vec_id % 10 = 1").select(F.lit("c").alias("corpus"), F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").alias("vec"), (-F.col("vec_id")).alias("modified"))
+    v = table(spark, sf, "embeddings").select(F.lit("c").alias("corpus"), F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").alias("vec"), (-F.col("vec_id")).alias("modified"))
     return upkeep.superseded(ranking.nearest(v, v), v, 0.1)
 
 
@@ -473,3 +473,39 @@ def recency_epoch(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the newest row is more than two days old."""
     d = documents(spark, sf).select(F.lit(1).alias("query_id"), F.col("account").alias("corpus"), F.col("modified").alias("when"))
     return recall.last_word(d, ts(EPOCH)).select(F.col("corpus").alias("account"), "newest", "old")
+
+
+@query("write_kinds", r"WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/tmp/' || page_id WHEN 1 THEN '/r/memory/' || page_id WHEN 2 THEN url || '.md' WHEN 3 THEN '/r/src/' || page_id || '.py' ELSE '/r/node_modules/x' END AS path FROM pages) SELECT page_id, page_id % 5 IN (1, 2, 3) AS durable, CASE WHEN path LIKE '%/knowledge-base/%' THEN 'kb' WHEN path LIKE '%/memory/%' THEN 'memory' WHEN path LIKE '%.md' THEN 'doc' WHEN path LIKE '%.py' THEN 'code' ELSE 'other' END AS kind FROM p")
+def write_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """paths that last, and what is written there."""
+    path = F.expr("case page_id % 5 when 0 then concat('/tmp/', page_id) when 1 then concat('/r/memory/', page_id) when 2 then concat(url, '.md') when 3 then concat('/r/src/', page_id, '.py') else '/r/node_modules/x' end")
+    return table(spark, sf, "pages").select("page_id", claims.is_durable(path).alias("durable"), claims.kind_of(path).alias("kind"))
+
+
+@query("log_report", f"WITH {SQL_LOG} SELECT caller % 10 AS caller, count(DISTINCT caller) AS questions, count(DISTINCT caller) FILTER (WHERE f) AS misses, round(count(DISTINCT caller) FILTER (WHERE f) / count(DISTINCT caller)::DOUBLE, 4) AS miss_share FROM (SELECT caller, bool_and(failed) AS f FROM lg GROUP BY caller) GROUP BY caller % 10")
+def log_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions and misses of each caller."""
+    log = _log(spark, sf).withColumn("query_id", F.lit(None).cast("string")).withColumn("caller", F.col("caller") % 10)
+    return claims.report(log)
+
+
+@query("file_changes", f"WITH {SQL_DOCS} SELECT name AS file, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 13 = 0 THEN 'deleted' ELSE 'modified' END AS change, doc_id % 7 <> 0 AND doc_id % 13 = 0 AS held FROM docs WHERE NOT (doc_id % 7 = 0 AND doc_id % 13 = 0) AND (doc_id % 7 = 0 OR doc_id % 13 = 0 OR doc_id % 11 = 0)")
+def file_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed between two states of a store."""
+    a, b = _index_and_files(spark, sf)
+    return claims.changes(a.withColumnRenamed("file_id", "file"), b.withColumnRenamed("file_id", "file"))
+
+
+@query("identifier_check", "WITH a AS (SELECT p_partkey AS query_id, unnest([p_brand, p_type, p_name]) AS identifier FROM part), k AS (SELECT DISTINCT p_brand AS identifier FROM part WHERE p_size < 20) SELECT query_id, a.identifier, k.identifier IS NOT NULL AS found FROM a LEFT JOIN k ON k.identifier = a.identifier")
+def identifier_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers of each query that no repository has."""
+    p = table(spark, sf, "part")
+    return claims.identifier_check(p.select(F.col("p_partkey").alias("query_id"), F.array("p_brand", "p_type", "p_name").alias("identifiers")), p.where("p_size < 20").select(F.col("p_brand").alias("identifier")))
+
+
+@query("key_facts", f"WITH {SQL_DOCS} SELECT name, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN length(account) >= 3 THEN account || '|' ELSE '' END || project || '|' || name ELSE '' END AS facts FROM docs")
+def key_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts joined to their documents; those too short go."""
+    d = documents(spark, sf)
+    rows = claims.with_key_facts(d, d.where("doc_id % 2 = 0").select("name", F.array("account", "project", "name").alias("facts")))
+    return rows.select("name", F.array_join("key_facts", "|").alias("facts"))

@@ -17,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores, dealt out to all cores; larger scans stay as they are."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a corpus: a name, a description of 12 words, a tier from labels, a date by id."""
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    d, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels").select("doc_id", "quality")
     rows = d.join(labels, "doc_id", "left")
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
     return rows.select(

@@ -161,7 +161,7 @@ def import_names(items: DataFrame, taken: DataFrame) -> DataFrame:
 def replace_category(current: DataFrame, incoming: DataFrame, at: Column) -> DataFrame:
     """current documents of the incoming categories become archived, with the time they were replaced at, beside the incoming ones."""
     cats = incoming.select("category").distinct().withColumn("_hit", F.lit(True))
-    old = current.join(F.broadcast(cats), "category", "left")
+    old = current.join(cats, "category", "left")
     gone = F.coalesce("_hit", F.lit(False)) & F.col("superseded_at").isNull()
     old = old.withColumn("tier", F.when(gone, "archive").otherwise(F.col("tier"))).withColumn("superseded_at", F.when(gone, at).otherwise(F.col("superseded_at"))).drop("_hit")
     return old.unionByName(incoming.withColumn("superseded_at", F.lit(None).cast("timestamp")), allowMissingColumns=True)

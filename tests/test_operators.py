@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import lexical, ranking, recall, structure, upkeep
+from corpusloom.operators import claims, lexical, ranking, recall, structure, upkeep
 
 NOW = dt.datetime(2024, 7, 1)
 
@@ -15,7 +15,7 @@ def test_statistics_stay_in_their_corpus_and_queries_without_terms_give_nothing(
     d = docs(spark, [("a", "one", "pump seal", "the pump leaks"), ("a", "two", "rota", None), ("b", "one", "pump", "pump pump")])
     model = lexical.build_model(d)
     q = spark.createDataFrame([(1, "pump seals"), (2, ""), (3, None), (4, "unheard")], "query_id int, query string")
-    rows = {(r.query_id, r.corpus, r.name): r.raw for r in lexical.keyword_scores(model, q, 4).collect()}
+    rows = {(r.query_id, r.corpus, r.name): r.raw for r in lexical.keyword_scores(model, q).collect()}
     assert set(rows) == {(1, "a", "one"), (1, "b", "one")}
     stats = {(r.query_id, r.corpus): r for r in lexical.term_statistics(model, q).collect()}
     assert stats[(4, "a")].orphan_share == 1 and stats[(4, "a")].orphans == ["unheard"]
@@ -135,5 +135,45 @@ def test_curation_due_and_claims(spark):
 def test_empty_tables(spark):
     d = docs(spark, [])
     q = spark.createDataFrame([(1, "x y")], "query_id int, query string")
-    assert lexical.keyword_scores(lexical.build_model(d), q, 1).count() == 0
+    assert lexical.keyword_scores(lexical.build_model(d), q).count() == 0
     assert structure.sections(d).count() == 0 and structure.link_edges(d).count() == 0 and structure.outline(d).count() == 0
+
+
+def test_claims(spark):
+    one = lambda v, f: spark.createDataFrame([(v,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
+    assert one("**Asked:** what is wrong?\n\nI was wrong about the pump.", claims.corrects)
+    assert not one("**Asked:** I was wrong, right?\n\nNo.", claims.corrects)
+    assert not one("I misread it; the memory says 5.", claims.corrects) and not one("Scratch that. Let me check first.", claims.corrects)
+    assert one("**Asked:** x", claims.assistant_half) == "" and one("plain", claims.assistant_half) == "plain"
+    assert one("a-b-c-d-e", claims.project_label) == "c-d-e"
+    w = spark.createDataFrame([("s", "/r/notes/long-file-name.md"), ("s", "/tmp/x"), ("s", "/r/a.py")], "session_id string, path string")
+    p = spark.createDataFrame([("s", "wrote long-file-name.md and a.py")], "session_id string, text string")
+    assert {(r.path, r.kind, r.named) for r in claims.durable_writes(w, p).collect()} == {("/r/notes/long-file-name.md", "doc", True), ("/r/a.py", "code", False)}
+
+
+def test_probe_drafts(spark):
+    body = "Tagged v1.2 at abc1234\nhttp://localhost:80/x\n```\n/a/b/no.md\n```\nsee /a/b/c.md and\nOrigin: http://localhost:9\nalso /d/e/f.py"
+    d = spark.createDataFrame([("c", "n", body, None), ("c", "m", body, "x")], "corpus string, name string, body string, probe string")
+    assert [(r.place, r.probe) for r in claims.probe_proposals(d).orderBy("place").collect()] == [(1, "git_tag_exists v1.2"), (2, "http_status http://localhost:80/x"), (3, "file_exists /a/b/c.md")]
+    row = spark.range(1).select(claims.vacuous(F.lit("grep_count NAME :: f"), F.lit(">= 1")).alias("a"), claims.vacuous(F.lit("grep_count 'x: 1' :: f"), F.lit(">=1")).alias("b")).first()
+    assert tuple(row) == (True, False)
+
+
+def test_queues_plans_and_warnings(spark):
+    t = lambda *n: spark.createDataFrame([(x, "d") for x in n], "name string, detail string")
+    q = claims.curation_queue(t("b"), t("a"), t(), t("c"), t(*"pqrstuv")).collect()
+    assert [r.name for r in q] == ["b", "a", "c", "p", "q", "r", "s", "t"]
+    plan = spark.createDataFrame([("a", "x", "s", 1), ("b", "x", "s", 2), ("c", "z", "t", 1), ("d", "y", "t", 2)], "old string, new string, session_id string, position int")
+    assert {r.old: r.problem for r in claims.migration_plan(plan).collect()} == {"a": "not unique", "b": "not unique", "c": "order", "d": "order"}
+    d = spark.createDataFrame([("x",), ("y",), (None,)], "account string")
+    assert claims.label_warning(d, "account", ["z"]).first().known == ["x", "y"] and claims.label_warning(d, "account", ["x"]).count() == 0
+    f = spark.createDataFrame([("notes.md", "alpha beta", 10), ("z.md", "alpha", 10)], "file string, text string, size int")
+    terms = spark.createDataFrame([("alpha",), ("no",)], "term string")
+    assert claims.probe_file_terms(terms, f).first().files == ["notes.md", "z.md"]
+    r = claims.probe_file_terms(terms, f, budget=15).collect()
+    assert [(x.term, x.files, x.truncated) for x in r] == [("alpha", ["notes.md"], True), ("no", ["notes.md"], True)] or [(x.term, x.files, x.truncated) for x in r] == [("alpha", ["notes.md"], True)]
+    page = spark.createDataFrame([(1, "a"), (1, "b")], "query_id int, name string")
+    kept, gone = claims.live_secrets_out(page, spark.createDataFrame([("b",)], "name string"))
+    assert [x.name for x in kept.collect()] == ["a"] and gone.first().withheld == 1
+    s = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, hash string")
+    assert [x.name for x in claims.accepted_secrets(s, spark.createDataFrame([("a", "1"), ("b", "1")], "name string, hash string")).collect()] == ["b"]
