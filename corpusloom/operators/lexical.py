@@ -21,11 +21,16 @@ from corpusloom.operators.sizes import small
 
 
 
+#: Asked terms up to which a model is built for these terms alone.
+ASKED = 1000
+
+
 @dataclass(frozen=True)
 class Model:
-    """postings: corpus, term, name, w (tf over length norms); df: corpus, term, df (distinct files); stats: corpus, n_docs, avg lengths.
+    """postings: corpus, term, name, file, w (weights over length norms); df: corpus, term, df (distinct files); stats: corpus, n_docs,
+    average lengths.
 
-    counted: the persisted term counts that all three derive from, so that a corpus is tokenised once. release() gives them up.
+    counted: the persisted tokens that all three derive from, so that a corpus is tokenised once. release() gives them up.
     """
 
     postings: DataFrame
@@ -37,39 +42,42 @@ class Model:
         self.counted.unpersist()
 
 
-def weighted_terms(docs: DataFrame) -> DataFrame:
-    """corpus, name, file, group (0 title, 1 headings and key facts, 2 body), term, weight: one row for each kind of token."""
-    def weighed(tokens: Column, weight: float, group: int) -> Column:
-        return F.transform(tokens, lambda t: F.struct(F.lit(group).alias("group"), t.alias("term"), F.lit(weight).alias("weight")))
+def _fields(docs: DataFrame) -> list[tuple[int, float, Column]]:
+    """(group, weight, text) of the fields: title 0, headings and key facts 1, body 2."""
+    out = [(0, K.NAME_WEIGHT, F.concat_ws(" ", F.regexp_replace("name", "[-_]", " "), "name")), (0, K.DESCRIPTION_WEIGHT, F.col("description")), (2, K.BODY_WEIGHT, F.col("body"))]
+    for name, weight in (("headings", K.HEADING_WEIGHT), ("key_facts", K.FACT_WEIGHT)):
+        if name in docs.columns:
+            out.append((1, weight, F.array_join(name, " \n ")))
+    return out
 
-    every = F.concat(
-        weighed(tokenize(F.concat_ws(" ", F.regexp_replace("name", "[-_]", " "), "name")), K.NAME_WEIGHT, 0),
-        weighed(tokenize("description"), K.DESCRIPTION_WEIGHT, 0),
-        weighed(tokenize(F.array_join("headings", " \n ")), K.HEADING_WEIGHT, 1),
-        weighed(tokenize(F.array_join("key_facts", " \n ")), K.FACT_WEIGHT, 1),
-        weighed(tokenize("body"), K.BODY_WEIGHT, 2),
-    )
-    cols = set(docs.columns)
-    for c in ("headings", "key_facts"):
-        if c not in cols:
-            docs = docs.withColumn(c, F.array().cast("array<string>"))
-        else:
-            docs = docs.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
-    return docs.select("corpus", "name", F.coalesce("file", "name").alias("file"), F.explode(every).alias("t")).select("corpus", "name", "file", "t.group", "t.term", "t.weight")
-
-
-def build_model(docs: DataFrame) -> Model:
-    """docs: corpus, name, description, body, and optionally file, headings, key_facts."""
-    if "file" not in docs.columns:
-        docs = docs.withColumn("file", F.col("name"))
-    tf = weighted_terms(docs).groupBy("corpus", "name", "file", "group", "term").agg(F.sum("weight").alias("tf")).persist()
-    lengths = tf.groupBy("corpus", "name").agg(*(F.sum(F.when(F.col("group") == g, F.col("tf")).otherwise(0.0)).alias(f"len{g}") for g in range(3)))
-    sizes = docs.groupBy("corpus").agg(F.count("*").alias("n_rows"), F.count_distinct(F.coalesce("file", "name")).alias("n_docs"))
-    sums = lengths.groupBy("corpus").agg(*(F.sum(f"len{g}").alias(f"sum{g}") for g in range(3)))
-    stats = sizes.join(sums, "corpus", "left").select("corpus", "n_docs", *(F.when(F.coalesce(F.col(f"sum{g}"), F.lit(0.0)) > 0, F.col(f"sum{g}") / F.col("n_rows")).otherwise(1.0).alias(f"avg{g}") for g in range(3)))
-    norm = F.when(F.col("group") == 0, F.col("len0") / F.col("avg0")).when(F.col("group") == 1, F.col("len1") / F.col("avg1")).otherwise(F.col("len2") / F.col("avg2"))
-    postings = tf.join(lengths, ["corpus", "name"]).join(small(stats), "corpus").groupBy("corpus", "term", "name", "file").agg(F.sum(F.col("tf") / (1 - K.B + K.B * norm)).alias("w"))
-    return Model(postings, postings.groupBy("corpus", "term").agg(F.count_distinct("file").alias("df")), stats, tf)
+
+def build_model(docs: DataFrame, queries: DataFrame | None = None) -> Model:
+    """docs: corpus, name, description, body, and optionally file, headings, key_facts.
+
+    With queries of few terms, only these terms get postings; statistics are of the whole corpora either way. A term's weight in a
+    document is a sum over its tokens, so one aggregation makes the postings.
+    """
+    only = None
+    if queries is not None:
+        asked = [r[0] for r in query_terms(queries).select("term").distinct().limit(ASKED + 1).collect()]
+        only = asked if len(asked) <= ASKED else None
+    file = F.coalesce("file", "name") if "file" in docs.columns else F.col("name")
+    fields = _fields(docs)
+    rows = docs.select("corpus", "name", file.alias("file"), *(tokenize(text).alias(f"t{i}") for i, (_, _, text) in enumerate(fields)))
+    length = lambda g: sum((F.size(f"t{i}") * w for i, (group, w, _) in enumerate(fields) if group == g), F.lit(0.0))
+    kept = [F.filter(f"t{i}", lambda t: t.isin(only)) if only is not None else F.col(f"t{i}") for i in range(len(fields))] if only != [] else [F.array().cast("array<string>")] * len(fields)
+    counted = rows.select("corpus", "name", "file", *(length(g).alias(f"len{g}") for g in range(3)), *(k.alias(f"k{i}") for i, k in enumerate(kept))).persist()
+    sums = counted.groupBy("corpus").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_docs"), *(F.sum(f"len{g}").alias(f"len{g}") for g in range(3)))
+    stats = sums.select("corpus", "n_docs", *(F.when(F.col(f"len{g}") > 0, F.col(f"len{g}") / F.col("n")).otherwise(1.0).alias(f"avg{g}") for g in range(3)))
+    share = {g: 1 / (1 - K.B + K.B * F.col(f"len{g}") / F.col(f"avg{g}")) for g in range(3)}
+
+    def weigh(i: int, weight: Column) -> Column:
+        return F.transform(f"k{i}", lambda t: F.struct(t.alias("term"), weight.alias("x")))
+
+    weighed = F.flatten(F.array(*(weigh(i, F.col(f"w{g}") * w) for i, (g, w, _) in enumerate(fields))))
+    normed = counted.join(small(stats), "corpus").withColumns({f"w{g}": share[g] for g in range(3)})
+    postings = normed.select("corpus", "name", "file", F.inline(weighed)).groupBy("corpus", "term", "name", "file").agg(F.sum("x").alias("w"))
+    return Model(postings, postings.groupBy("corpus", "term").agg(F.count_distinct("file").alias("df")), stats, counted)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

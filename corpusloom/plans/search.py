@@ -25,7 +25,7 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query("bm25_top", SQL_BM25 + f"SELECT query_id, name, round(raw, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 4) DESC, name)::INTEGER AS rank FROM raw QUALIFY rank <= {K.LIMIT}")
 def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
     """The best documents of each query by BM25F."""
-    scores = lexical.keyword_scores(lexical.build_model(documents(spark, sf)), asked(spark)).withColumn("score", F.round("raw", 4))
+    scores = lexical.keyword_scores(lexical.build_model(documents(spark, sf), asked(spark)), asked(spark)).withColumn("score", F.round("raw", 4))
     ranked = scores.selectExpr("query_id", "name", "score", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank")
     return ranked.where(F.col("rank") <= K.LIMIT)
 
@@ -33,14 +33,14 @@ def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
 @query("query_term_stats", SQL_BM25 + "SELECT query_id, round(ideal, 4) AS ideal, round(ideal_full, 4) AS ideal_full, round(orphan_share, 4) AS orphan_share, n_present::INTEGER AS n_present, n_absent::INTEGER AS n_absent, n_orphans::INTEGER AS n_orphans FROM stat")
 def query_term_stats(spark: SparkSession, sf: str) -> DataFrame:
     """A5: what each query's own terms say."""
-    s = lexical.term_statistics(lexical.build_model(documents(spark, sf)), asked(spark))
+    s = lexical.term_statistics(lexical.build_model(documents(spark, sf), asked(spark)), asked(spark))
     return s.select("query_id", *(F.round(c, 4).alias(c) for c in ("ideal", "ideal_full", "orphan_share")), *(F.size(c).alias(f"n_{c}") for c in ("present", "absent", "orphans")))
 
 
 @query("keyword_absolute", SQL_BM25 + "SELECT query_id, name, round(keyword, 4) AS keyword FROM kw")
 def keyword_absolute(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword scores on the absolute scale."""
-    model = lexical.build_model(documents(spark, sf))
+    model = lexical.build_model(documents(spark, sf), asked(spark))
     rows = lexical.absolute_scores(lexical.keyword_scores(model, asked(spark)), lexical.term_statistics(model, asked(spark)))
     return rows.select("query_id", "name", F.round("keyword", 4).alias("keyword"))
 
@@ -48,7 +48,7 @@ def keyword_absolute(spark: SparkSession, sf: str) -> DataFrame:
 @query("keyword_relative", SQL_BM25 + "SELECT query_id, name, round(raw / max(raw) OVER (PARTITION BY query_id), 4) AS keyword FROM raw")
 def keyword_relative(spark: SparkSession, sf: str) -> DataFrame:
     """Scores by the query's best."""
-    return lexical.relative_scores(lexical.keyword_scores(lexical.build_model(documents(spark, sf)), asked(spark))).select("query_id", "name", F.round("keyword", 4).alias("keyword"))
+    return lexical.relative_scores(lexical.keyword_scores(lexical.build_model(documents(spark, sf), asked(spark)), asked(spark))).select("query_id", "name", F.round("keyword", 4).alias("keyword"))
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +79,7 @@ def nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = documents(spark, sf).withColumn("n_chunks", F.size(structure.chunks("body")))
-    model = lexical.build_model(docs)
+    model = lexical.build_model(docs, asked(spark))
     scores, stats = lexical.keyword_scores(model, asked(spark)), lexical.term_statistics(model, asked(spark))
     found = ranking.candidates(lexical.absolute_scores(scores, stats), ranking.semantic_scores(_vectors(spark, sf), _query_vectors(spark, sf)))
     rows = ranking.fuse(found, docs.select("corpus", "name", "file", "body", "tier", "in_memory_index", "modified", "n_chunks"), ranking.reference_chunks(docs), F.lit(AS_OF).cast("timestamp"))
@@ -147,7 +147,7 @@ SELECT query_id, doc_id, round(max(pow(k / n::DOUBLE, 2) * k / (r - l + 1)), 4)
 def phrase_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The densest window of a query's terms in each document; the oracle is a relational self-join."""
     docs = documents(spark, sf)
-    stats = lexical.term_statistics(lexical.build_model(docs), asked(spark))
+    stats = lexical.term_statistics(lexical.build_model(docs, asked(spark)), asked(spark))
     pairs = docs.select("doc_id", "body").join(small(stats.select("query_id", F.col("present").alias("terms"))))
     return lexical.phrase_scores(pairs).where("phrase > 0").select("query_id", "doc_id", F.round("phrase", 4).alias("phrase"))
 
