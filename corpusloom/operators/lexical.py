@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from corpusloom import constants as K
 from corpusloom.functions.scoring import absolute_keyword, idf, saturated
+from corpusloom.functions.spans import positions, snippet_around
 from corpusloom.functions.text import tokenize
 from corpusloom.operators.sizes import small
 
@@ -164,3 +165,23 @@ def phrase_scores(pairs: DataFrame) -> DataFrame:
     rows = pairs.withColumn("_tokens", tokenize("body")).drop("body")
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_tokens") + ", phrase double, first_token int, last_token int"
     return rows.mapInPandas(over, schema)
+
+
+def phrase_snippets(pairs: DataFrame) -> DataFrame:
+    """pairs (body, terms, and other columns) with snippet: the text around the densest window of the terms, null without one.
+
+    For the rows of a page, after ranking: bodies are read whole in Python.
+    """
+
+    def around(body: str | None, terms) -> str | None:
+        at = positions(body)
+        found = best_window([t for t, _, _ in at], set(terms))
+        return snippet_around(body, at[found[4]][1], at[found[5]][2]) if found else None
+
+    def over(batches):
+        for pdf in batches:
+            pdf["snippet"] = [around(b, t) for b, t in zip(pdf["body"], pdf["terms"], strict=True)]
+            yield pdf.drop(columns="body")
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes if c != "body") + ", snippet string"
+    return pairs.mapInPandas(over, schema)

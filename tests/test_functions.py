@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
-from corpusloom.operators.lexical import best_window
+from corpusloom.functions.spans import positions, snippet_around
+from corpusloom.operators.lexical import best_window, phrase_snippets
 
 
 def one(spark, value, f):
@@ -88,3 +89,27 @@ def test_best_window_is_the_best_of_all(tokens, wanted):
 def test_a_phrase_needs_two_words():
     assert best_window(["a", "a"], {"a"}) is None
     assert best_window([], {"a", "b"}) is None
+
+
+def test_positions_are_the_tokens_in_place(spark):
+    texts = ["The v1.2.0 bge-small policies, `GLASS` classes! -a.b- walked/running", "Café it/again\n#one *two*", "", None, "...", "shes dishes misses goes pies es ss 12s abc-def.ghi"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.tokenize("x").alias("t")).collect()
+    for r in rows:
+        assert [t for t, _, _ in positions(r.x)] == r.t
+        assert all(r.x[a:b].lower() for _, a, b in positions(r.x))
+
+
+def test_snippets_hold_the_match():
+    text = " ".join(f"Sentence number {i} is here." for i in range(100))
+    at = text.index("number 57")
+    s = snippet_around(text, at, at + 9)
+    assert "Sentence number 57 is here." in s and s.startswith("…") and s.endswith("…") and len(s) <= 322
+    assert snippet_around("short  text\n", 0, 5) == "short text" and snippet_around(None, 0, 0) == ""
+    assert snippet_around(text, 0, 400, 320).startswith("Sentence number 0") and snippet_around(text, len(text) - 5, len(text)).startswith("…Sentence number 88")
+
+
+def test_phrase_snippets(spark):
+    body = "filler " * 200 + "the light oil goes on the pawls " + "filler " * 200
+    p = spark.createDataFrame([(1, body, ["light", "oil", "pawl"]), (2, "no", ["light", "oil"]), (3, None, ["a"])], "id int, body string, terms array<string>")
+    got = {r.id: r.snippet for r in phrase_snippets(p).collect()}
+    assert "light oil goes on the pawls" in got[1] and got[2] is None and got[3] is None
