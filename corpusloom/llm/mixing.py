@@ -26,6 +26,8 @@ from corpusloom.llm.common import cut, tune
 BLOCK_WORDS, LEAST_BLOCKS = 1024, 250
 #: Blocks of all sources, at most (the draws' own bound); blocks grow with the corpus beyond that.
 MOST_BLOCKS = 400_000_000
+#: Words of an output shard, about: shards grow in number with the mix, not in size.
+SHARD_WORDS = 4_000_000
 #: Documents of a source that are put in order together, about.
 BUCKET = 2000
 #: Sources, at most: a row for each is held by the driver and broadcast.
@@ -160,10 +162,11 @@ class Mix:
     the last one. The same rows, in whatever order or partitions, give the same mix. Repeated rows are drawn one by one.
     """
 
-    def __init__(self, documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 64, seed: int = 1):
-        self.spark, self.documents, self.shards, self.seed = documents.sparkSession, documents, shards, seed
+    def __init__(self, documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = 1):
+        self.spark, self.documents, self.seed = documents.sparkSession, documents, seed
         sized = cut(word_counts(_keyed(documents, seed), "doc_id", "key", "source"))
         self.sources = plan(sized, weights, share, most)
+        self.shards = shards or max(8, -(-int(sum(s.target for s in self.sources)) // SHARD_WORDS))
         known = self._table([(s.name, i, max(1, s.docs // BUCKET)) for i, s in enumerate(self.sources)], "source string, number int, buckets long")
         rows = sized.join(F.broadcast(known), sized["source"].eqNullSafe(known["source"])).drop(known["source"])
         unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 11) / float(1 << 53)
