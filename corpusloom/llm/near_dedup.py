@@ -7,7 +7,9 @@
    one with more than SMALL rows is split by further values, as deep as the key goes, until its parts are small or end.
 3. First each row of a region is held against the region's smallest id: a star, as many pairs as rows. After those links
    are joined into components, only rows of one part whose components still differ are paired.
-4. Every pair is confirmed on the full sets; a link is never assumed from signatures.
+4. Rows of a region of more than SMALL rows that splitting sets apart are paired by prefix filter: of two sets as alike as asked,
+   the rarest shingles meet. This is exact, whatever signatures say.
+5. Every pair is confirmed on the full sets; a link is never assumed from signatures.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ VALUES, TREES, STRIDE, KEY, DEPTH = 128, 24, 5, 8, 4
 #: A region with more rows is split by further values.
 SMALL = 64
 
+#: Cells of the counts by which shingles are ranked, rarest first. Any ranking is right; a better one gives fewer pairs.
+CELLS = 1 << 20
+
 #: Cells of a set's parities.
 ODD = 1024
 
@@ -110,12 +115,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(ids))), data.cast(pa.binary()), pa.array(np.repeat(ids, TREES))], names=["tree", "key", "id"])
 
 
-STAR, HEAD, MEMBER = 0, 1, 2
+STAR, HEAD, MEMBER, REGION = 0, 1, 2, 3
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over one sorted range: (STAR, id, smallest id of its run), (HEAD, region, smallest id) of the first and last run, which
-    may go on in another range, and (MEMBER, part, id)."""
+    may go on in another range, (MEMBER, part, id), and (REGION, region, id) of regions that are split."""
     tree, key, ids = np.zeros(0, dtype=np.int32), np.zeros((0, KEY), dtype=">u4"), np.zeros(0, dtype=np.int64)
     first = True
 
@@ -151,6 +156,10 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kinds += [MEMBER] * len(at)
                     a += [name] * len(at)
                     b += i[at].tolist()
+                if e - s > SMALL:
+                    kinds += [REGION] * (e - s)
+                    a += [named(int(t[s]), k[s, :DEPTH])] * (e - s)
+                    b += i[s:e].tolist()
             for r in {*([0] if is_first else []), *([len(starts) - 1] if is_last else [])}:
                 kinds.append(HEAD)
                 a.append(named(int(t[starts[r]]), k[starts[r], :DEPTH]))
@@ -216,6 +225,79 @@ def _pairs(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi").distinct()
 
 
+def _prefixes(percent: int, size: int, ranks):
+    """(id, label, text) to the rarest shingles of each set, as many as must meet one of any other set that is alike.
+
+    ranks.value has counts by cell. `short` marks those that suffice of the smaller of two sets. A shingle of one set is left out.
+    """
+
+    def go(batches):
+        counts = ranks.value
+        for b in batches:
+            out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(6)]
+            for i, label, text in zip(*(b.column(c).to_pylist() for c in ("id", "label", "text")), strict=True):
+                found = shingles(text, size)
+                n = len(found)
+                count = counts[_cells(found)]
+                pos = np.lexsort((found, count))[: n + 1 - -(-percent * n // 100)]
+                at = np.flatnonzero(count[pos] > 1)
+                short = at < n + 1 - -(-2 * percent * n // (100 + percent))
+                for x, col in zip(out, (found[pos[at]].view(np.int64), np.full(len(at), i), np.full(len(at), label), np.full(len(at), n), at, short), strict=True):
+                    x.append(col)
+            cols = [np.concatenate(x) for x in out]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:5]), pa.array(cols[5].astype(bool))], names=["shingle", "id", "label", "n", "pos", "short"])
+
+    return go
+
+
+def _cells(found: np.ndarray) -> np.ndarray:
+    return (found % np.uint64(CELLS)).astype(np.int64)
+
+
+def _ranks(rows: DataFrame, size: int) -> np.ndarray:
+    """How many sets of rows (text) have a shingle of each cell: CELLS counts, whatever the number of rows."""
+
+    def go(batches):
+        counts = np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                np.add.at(counts, _cells(shingles(text, size)), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["cell", "n"])
+
+    found = rows.select("text").mapInArrow(go, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, dtype=np.int32)
+    counts[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return counts
+
+
+def set_apart(found: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Pairs (lo, hi) of different labels (id, label) that may be alike, among rows of regions that were split and have more than
+    one label: all that are alike, by prefix filter, and few others. None if there are no such rows."""
+    members = found.where(F.col("kind") == REGION).select(F.col("a").alias("region"), F.col("b").alias("id"))
+    members = members.join(labels, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label"))
+    open_regions = members.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region")
+    ids = cut(members.join(open_regions, "region", "left_semi").select("id", "label").distinct())
+    if ids.isEmpty():
+        return None
+    rows = cut(texts.join(ids, "id").select("id", "label", "text"))
+    ranks = rows.sparkSession.sparkContext.broadcast(_ranks(rows, size))
+    x = cut(rows.mapInArrow(_prefixes(percent, size, ranks), "shingle long, id long, label long, n long, pos long, short boolean"))
+    y = x.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "pos")))
+    most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # shingles in common, if this is the first
+    fits = (F.struct("n", "id") < F.struct(F.col("n2").alias("n"), F.col("id2").alias("id"))) & (F.col("label") != F.col("label2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
+    pairs = _pairs(x.where("short").join(y, "shingle").where(fits), F.col("id"), F.col("id2"))
+    odd = reps.select("id", "n", "odd")
+    rows = pairs.join(odd.toDF("lo", "n", "odd"), "lo").join(odd.toDF("hi", "n2", "odd2"), "hi")
+    return rows.where(_alike(percent)).select("lo", "hi").distinct()
+
+
+def _alike(percent: int) -> Column:
+    """Whether sets of n and n2 members with parities odd and odd2 may be alike."""
+    apart = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("odd2")[k])) for k in range(ODD // 64)), F.lit(0))
+    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n2")))
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of documents.
 
@@ -240,12 +322,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     open_parts = members.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("part")
     rest = cut(members.join(open_parts, "part", "left_semi").join(reps.select("id", "n", "odd"), "id").select("part", "id", "label", "n", "odd"))
     other = rest.toDF("part", "id2", "label2", "n2", "odd2")
-    apart = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("odd2")[k])) for k in range(ODD // 64)), F.lit(0))
-    alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n2")))
-    more = rest.join(other, (rest["part"] == other["part"]) & (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & alike).select(F.col("id").alias("lo"), F.col("id2").alias("hi")).distinct()
+    more = rest.join(other, (rest["part"] == other["part"]) & (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & _alike(percent)).select(F.col("id").alias("lo"), F.col("id2").alias("hi")).distinct()
     more = cut(more.join(stars, ["lo", "hi"], "left_anti"))
     if not more.isEmpty():
-        labels = components(links.union(cut(confirmed(more, texts, size, percent))))
+        links = links.union(cut(confirmed(more, texts, size, percent)))
+        labels = components(links)
+    far = set_apart(found, labels, reps, texts, size, percent)
+    if far is not None:
+        far = cut(far.join(stars, ["lo", "hi"], "left_anti").join(more, ["lo", "hi"], "left_anti"))
+        if not far.isEmpty():
+            labels = components(links.union(cut(confirmed(far, texts, size, percent))))
     classes = reps.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class"))
     out = all_rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
     component = F.coalesce("class", "doc_id")
