@@ -156,9 +156,25 @@ def with_bitmaps(documents: DataFrame, min_docs: int = 10, keep: str = "none") -
     return documents.withColumn("doc", row_key("doc_id", "text")).join(keep_bitmaps(documents, min_docs, keep), "doc", "left")
 
 
-def apply_bitmaps(documents: DataFrame, min_docs: int = 10, keep: str = "none") -> DataFrame:
-    """documents (doc_id, text, lang, source, n_chars) with the lines dropped from text, and n_chars set anew."""
-    rows = with_bitmaps(documents.select("doc_id", "text", "lang", "source"), min_docs, keep)
+def _one_of_emptied(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(doc): of the documents of each text that would lose all of its lines, the one with the smallest doc."""
+    n_keys = F.regexp_count("text", F.lit(r"[^ \t\n\x0b\f\r][^\n]*"))
+    texts = documents.select(row_key("doc_id", "text").alias("doc"), F.sha2("text", 256).alias("digest"), n_keys.alias("n_keys"))
+    return texts.join(bitmaps, "doc").where("n_dropped = n_keys").groupBy("digest").agg(F.min("doc").alias("doc")).select("doc")
+
+
+def apply_bitmaps(documents: DataFrame, min_docs: int = 10, keep: str = "none", spare: bool = False) -> DataFrame:
+    """documents (doc_id, text, lang, source, n_chars) with the lines dropped from text, and n_chars set anew.
+
+    spare: of the documents of each text that would lose all of its lines, one keeps them all.
+    """
+    tune(documents.sparkSession)
+    rows = documents.select("doc_id", "text", "lang", "source")
+    bitmaps = keep_bitmaps(rows, min_docs, keep)
+    if spare:
+        bitmaps = cut(bitmaps)
+        bitmaps = bitmaps.join(_one_of_emptied(rows, bitmaps), "doc", "left_anti")
+    rows = rows.withColumn("doc", row_key("doc_id", "text")).join(bitmaps, "doc", "left")
 
     def texts(batches):
         for b in batches:
