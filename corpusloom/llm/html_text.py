@@ -30,13 +30,20 @@ NEVER = frozenset("head title nav footer aside form menu button select option fi
 MAIN = frozenset("article main".split())
 #: Words in class, id and role that say what an element holds.
 BAD = re.compile(r"(?<![a-z])(?:ads?|advert\w*|aside|author-bio|banner|breadcrumbs?|captcha|comments?|consent|cookies?|copyright|disclaimer|disqus|feedback|footer|form|gdpr|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|notices?|notification|outbrain|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toc|toolbar|widget|complementary|contentinfo|search)(?![a-z])")
+#: Words of layout that tell of a state, not of what an element holds.
+STATE = re.compile(r"(?<!\S)(?:has|with|no|without)[-_]\S+")
+#: The same at the end of a word, where another word says that the element holds the article.
+SWITCH = re.compile(r"\S+[-_](?:open|closed|enabled|disabled)(?!\S)")
+#: Elements that hold all of a page, whatever their class says.
+WHOLE = frozenset("html body main".split())
 GOOD = re.compile(r"(?<![a-z])(?:article|body|content|entry|main|post|story|text)(?![a-z])")
 
 #: A cost that no other cost outweighs.
 SURE = 1000.0
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A whole attribute, so that no name is found inside another's value.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _WHITE = re.compile(r"\s+")
 
 
@@ -62,6 +69,17 @@ class Block:
     text: str = ""
 
 
+def says(name: str, words: str) -> tuple[bool, bool]:
+    """Whether an element's class, id and role say that it holds no article text, and that it does."""
+    if not words:
+        return False, False
+    words = STATE.sub("", words)
+    rest = SWITCH.sub("", words)
+    if GOOD.search(rest):
+        words = rest
+    return name not in WHOLE and bool(BAD.search(words)), bool(GOOD.search(words))
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page, in page order, without scripts, styles, comments and hidden elements."""
     root = Node("#", None, 0, False, False, False, False, False)
@@ -118,7 +136,7 @@ def blocks(html: str) -> list[Block]:
                 key = a[1].lower()
                 if key in ("class", "id", "role"):
                     words += " " + value.lower()
-                elif key == "hidden" or value.lower() == "true":
+                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     hidden = True
         if name in RAW or hidden and name not in VOID:
             if m[4].rstrip().endswith("/") and name in ("svg", "math"):
@@ -139,9 +157,10 @@ def blocks(html: str) -> list[Block]:
             if node.name in same or node.name == "p" and node.up.name in same:
                 node = (node if node.name in same else node.up).up
         if name not in VOID:
-            bad, good = bool(words) and bool(BAD.search(words)), bool(words) and bool(GOOD.search(words))
             main = name in MAIN or name == "div" and "article" in words.split()
-            node = Node(name, node, node.depth + 1, node.never or name in NEVER, (node.main or main) and name != "aside", node.bad or bad, node.good or good and not bad, node.header or name == "header")
+            bad, good = says(name, words)
+            around = node.bad and (node.main or not main)  # an article of its own ends what the layout around it says
+            node = Node(name, node, node.depth + 1, node.never or name in NEVER, (node.main or main) and name != "aside", around or bad, node.good or good and not bad, node.header or name == "header")
         close()
     close()
     return out
