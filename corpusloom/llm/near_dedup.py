@@ -120,7 +120,8 @@ STAR, HEAD, MEMBER, REGION = 0, 1, 2, 3
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over one sorted range: (STAR, id, smallest id of its run), (HEAD, region, smallest id) of the first and last run, which
-    may go on in another range, (MEMBER, part, id), and (REGION, region, id) of regions that are split."""
+    may go on in another range, (MEMBER, part, id), and (REGION, region, id) of regions that are split
+    here or, as the first and last run, perhaps in another range."""
     tree, key, ids = np.zeros(0, dtype=np.int32), np.zeros((0, KEY), dtype=">u4"), np.zeros(0, dtype=np.int64)
     first = True
 
@@ -164,6 +165,10 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kinds.append(HEAD)
                 a.append(named(int(t[starts[r]]), k[starts[r], :DEPTH]))
                 b.append(int(i[starts[r] : ends[r]].min()))
+                if ends[r] - starts[r] <= SMALL:
+                    kinds += [REGION] * (ends[r] - starts[r])
+                    a += [a[-1]] * (ends[r] - starts[r])
+                    b += i[starts[r] : ends[r]].tolist()
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
     for batch in batches:
