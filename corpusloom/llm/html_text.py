@@ -1,9 +1,12 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into blocks (runs of text between block-level tags). Two costs for each block, of calling it content and of calling
-it boilerplate, come from its place in the page, names of enclosing elements, its share of link text, its length and its
-punctuation. They become capacities to the two terminals of a network; blocks next to each other, and blocks close in the DOM, are tied by
-smoothness edges. The minimum cut is the labelling with the least total cost; what stays on the source's side is content.
+A page is read into blocks (runs of text between block-level tags). A logistic classifier gives each block the probability that
+it is content, from its place in the page, the names of the elements around it, its share of link text, its length and its
+punctuation. The negative logarithms of that probability and of its complement are the costs of the two labels, and become capacities to the two
+terminals of a network; blocks next to each other, and blocks close in the DOM, are tied by smoothness edges. The minimum cut is the
+labelling with the least total cost; what stays on the source's side is content.
+
+The classifier is trained here, in numpy, on pages that practice.py makes up: layouts with known labels. Nothing is read from `pages`.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ from __future__ import annotations
 import re
 from collections import deque
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -24,41 +29,43 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video xmp noembed noframes".split())
 P_ENDS = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-#: Elements that hold no article text.
+#: Elements made for what is no article text.
 NEVER = frozenset("head title nav footer aside form menu button select option fieldset legend dialog".split())
-#: Elements that hold it.
+#: Elements made for it.
 MAIN = frozenset("article main".split())
-#: Words in class, id and role that say what an element holds.
-BAD = re.compile(r"(?<![a-z])(?:ads?|advert\w*|aside|author-bio|banner|breadcrumbs?|captcha|comments?|consent|cookies?|copyright|disclaimer|disqus|feedback|footer|form|gdpr|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|notices?|notification|outbrain|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toc|toolbar|widget|complementary|contentinfo|search)(?![a-z])")
-#: Words of layout that tell of a state, not of what an element holds.
-STATE = re.compile(r"(?<!\S)(?:has|with|no|without)[-_]\S+")
-#: The same at the end of a word, where another word says that the element holds the article.
-SWITCH = re.compile(r"\S+[-_](?:open|closed|enabled|disabled)(?!\S)")
+#: Words in class, id and role that tell what an element holds; a name is cut at - and _ and where a capital follows a small letter.
+COMMENT = frozenset("comment comments disqus respond replies reply feedback".split())
+BAD = COMMENT | frozenset("ad ads advert advertisement advertising aside bio banner breadcrumb breadcrumbs captcha complementary consent contentinfo cookie cookies copyright disclaimer footer form gdpr login masthead menu meta modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promotion recommendations recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar widget search".split())
+GOOD = frozenset("article body content entry main post story text".split())
+#: Parts of a name that make it tell of a page's state and not of what an element holds.
+STATE = frozenset("has with no without open closed enabled disabled left right on off is js".split())
 #: Elements that hold all of a page, whatever their class says.
 WHOLE = frozenset("html body main".split())
-GOOD = re.compile(r"(?<![a-z])(?:article|body|content|entry|main|post|story|text)(?![a-z])")
-
-#: A cost that no other cost outweighs.
-SURE = 1000.0
+#: Words that boilerplate uses more than articles do.
+CUES = re.compile(r"(?i)\b(?:cookies?|copyright|all rights reserved|subscribe|newsletter|sign (?:in|up)|log ?in|privacy policy|terms of (?:use|service)|advertisement|sponsored|read more|share this|follow us|leave a (?:reply|comment))\b|©")
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-#: A whole attribute, so that no name is found inside another's value.
-_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NAME = re.compile(r"<(?:!--(?:.*?(?:-->|\Z))|!\[CDATA\[(.*?)\]\]>|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*))", re.S)
+_ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
 _WHITE = re.compile(r"\s+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])|[-_]+")
+_UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 
 
 @dataclass
 class Node:
-    """An open element: its name, its parent, how many elements it is deep, and whether names around it are bad, good or neither."""
+    """An open element. main: how many articles it is in; bad, comment: what names say since the last article began; own_good: a name
+    around it that promises text; never, header: elements around it, since the last article began."""
 
     name: str
     up: Node | None
     depth: int
-    never: bool
-    main: bool
-    bad: bool
-    good: bool
-    header: bool
+    main: int = 0
+    never: bool = False
+    header: bool = False
+    bad: bool = False
+    comment: bool = False
+    good: bool = False
 
 
 @dataclass
@@ -69,25 +76,55 @@ class Block:
     text: str = ""
 
 
-def says(name: str, words: str) -> tuple[bool, bool]:
-    """Whether an element's class, id and role say that it holds no article text, and that it does."""
-    if not words:
-        return False, False
-    words = STATE.sub("", words)
-    rest = SWITCH.sub("", words)
-    if GOOD.search(rest):
-        words = rest
-    return name not in WHOLE and bool(BAD.search(words)), bool(GOOD.search(words))
+def says(name: str, marks: list[str]) -> tuple[bool, bool, bool]:
+    """Whether names (classes, id, role) of an element tell of a place without article text, of readers' comments, of article text."""
+    bad = comment = good = False
+    for mark in marks:
+        parts = [p.lower() for p in _HUMP.split(mark) if p]
+        if any(p in STATE for p in parts):
+            continue
+        bad |= any(p in BAD for p in parts)
+        comment |= any(p in COMMENT for p in parts)
+        good |= any(p in GOOD for p in parts)
+    return bad and name not in WHOLE, comment and name not in WHOLE, good
+
+
+def attributes(html: str, at: int, quotes: dict[str, int]) -> tuple[dict[str, str], int]:
+    """The attributes of the tag whose name ends at `at`, and where the tag ends. A quote without an end is a letter like others."""
+    found: dict[str, str] = {}
+    end = len(html)
+    while at < end:
+        m = _ATTR.match(html, at)
+        if m is None:
+            stop = html.find(">", at)
+            return found, end if stop < 0 else stop + 1
+        at, value = m.end(), ""
+        if m[2]:
+            q = html[at : at + 1]
+            if q in quotes and q and at < quotes[q]:
+                stop = html.index(q, at + 1)
+                value, at = html[at + 1 : stop], stop + 1
+            else:
+                b = _BARE.match(html, at)
+                value, at = b[0], b.end()
+        found.setdefault(m[1].lower(), value)
+    return found, end
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool("style" in found and _UNSEEN.search(found["style"]))
 
 
 def blocks(html: str) -> list[Block]:
-    """The blocks of a page, in page order, without scripts, styles, comments and hidden elements."""
-    root = Node("#", None, 0, False, False, False, False, False)
+    """The blocks of a page, in page order, without scripts, styles, comments of the markup and hidden elements."""
+    root = Node("#", None, 0)
     node, out, now = root, [], Block(root)
     links, at, end = 0, 0, len(html)
+    quotes = {q: html.rfind(q) for q in "\"'"}
+    unseen: list[str] | None = None  # elements open in a hidden one, itself first
 
     def add(raw: str):
-        if raw:
+        if raw and unseen is None:
             text = unescape(raw) if "&" in raw else raw
             now.parts.append(text)
             if links:
@@ -102,7 +139,7 @@ def blocks(html: str) -> list[Block]:
         now = Block(node)
 
     while at < end:
-        m = _TAG.search(html, at)
+        m = _NAME.search(html, at)
         if m is None:
             add(html[at:])
             break
@@ -113,6 +150,34 @@ def blocks(html: str) -> list[Block]:
         if m[3] is None:
             continue
         name = m[3].lower()
+        found: dict[str, str] = {}
+        if html[at : at + 1] == ">":
+            at += 1
+        else:
+            found, at = attributes(html, at, quotes)
+        if unseen is not None:
+            if m[2]:
+                if name in unseen:
+                    while unseen.pop() != name:
+                        pass
+                    if not unseen:
+                        unseen = None
+                    continue
+                up = node
+                while up is not None and up.name != name:
+                    up = up.up
+                if up is None or name not in BLOCKS:
+                    continue
+                unseen = None  # an element around the hidden one ends
+            elif name in P_ENDS and unseen == ["p"]:
+                unseen = None
+            else:
+                if name in ("script", "style"):
+                    stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+                    at = stop.end() if stop else end
+                elif name not in VOID:
+                    unseen.append(name)
+                continue
         if m[2]:  # a closing tag
             up = node
             while up is not None and up.name != name:
@@ -126,24 +191,18 @@ def blocks(html: str) -> list[Block]:
                 links = max(0, links - 1)
             continue
         if name == "br":
-            now.parts.append(" ")
+            add(" ")
             continue
-        hidden = False
-        words = ""
-        if m[4] and not m[4].isspace():
-            for a in _ATTR.finditer(m[4]):
-                value = a[2] or a[3] or a[4] or ""
-                key = a[1].lower()
-                if key in ("class", "id", "role"):
-                    words += " " + value.lower()
-                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                    hidden = True
-        if name in RAW or hidden and name not in VOID:
-            if m[4].rstrip().endswith("/") and name in ("svg", "math"):
+        if name in RAW:
+            if html[at - 2 : at] == "/>" and name in ("svg", "math"):
                 continue
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = stop.end() if stop else (end if name in ("script", "style") else at)
-            now.parts.append(" " if name in BLOCKS else "")
+            continue
+        if name not in VOID and _hidden(found):
+            unseen = [name]
+            if name in BLOCKS:
+                close()
             continue
         if name == "a":
             links += 1
@@ -157,29 +216,75 @@ def blocks(html: str) -> list[Block]:
             if node.name in same or node.name == "p" and node.up.name in same:
                 node = (node if node.name in same else node.up).up
         if name not in VOID:
-            main = name in MAIN or name == "div" and "article" in words.split()
-            bad, good = says(name, words)
-            around = node.bad and (node.main or not main)  # an article of its own ends what the layout around it says
-            node = Node(name, node, node.depth + 1, node.never or name in NEVER, (node.main or main) and name != "aside", around or bad, node.good or good and not bad, node.header or name == "header")
+            marks = [x for k in ("class", "id", "role") if k in found for x in found[k].split()]
+            bad, comment, good = says(name, marks) if marks else (False, False, False)
+            up, main = node, name in MAIN or "article" in marks and name == "div"
+            fresh = main and not node.main and not node.comment  # the layout around an article says nothing of it
+            node = Node(
+                name, up, up.depth + 1, up.main + main, (up.never and not fresh) or name in NEVER, (up.header and not fresh) or name == "header" and not up.main,
+                (up.bad and not fresh) or bad, up.comment or comment, up.good or good and not bad,
+            )
         close()
     close()
     return out
 
 
-def costs(b: Block) -> tuple[float, float]:
-    """(of calling the block content, of calling it boilerplate)."""
-    n, node = len(b.text), b.node
-    if node.never or node.bad or node.header and not node.main:
-        return SURE, 0.0
-    size = min(1.0, n / 120)
-    share = min(1.0, b.linked / n)
-    content = 1.0 + 3.0 * share * (share > 0.5) + 0.6 * (n < 25)
-    boiler = 0.8 + 2.0 * size + 0.5 * (b.text[-1] in ".!?…。:;\"'»”") + (0.7 if node.good else 0.0)
-    if node.name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "blockquote"):
-        boiler += 0.7
-    if node.main:
-        boiler += SURE if share < 0.9 or node.name in ("p", "h1") else 2.0
-    return content, boiler
+FEATURES = (
+    "one", "length", "long", "short", "linked", "mostly links", "ends a sentence", "commas", "cues in an article", "cues", "heading", "paragraph", "list", "table", "in an article", "outside the page's article",
+    "nowhere an article", "bad name", "bad name in an article", "comment", "good name", "never", "never in an article", "header", "first fifth", "last fifth", "before", "after",
+)
+
+
+def features(found: list[Block]) -> np.ndarray:
+    """A row of FEATURES for each block of a page."""
+    n = len(found)
+    size = np.array([len(b.text) for b in found], dtype=float)
+    log = np.log1p(size) / 6
+    any_main = any(b.node.main for b in found)
+    out = np.zeros((n, len(FEATURES)))
+    for i, b in enumerate(found):
+        t, k = b.text, b.node
+        name = k.name
+        share = min(1.0, b.linked / size[i])
+        out[i] = (
+            1, log[i], size[i] > 120, size[i] < 25, share, share > 0.5, t[-1] in ".!?…。:;\"'»”", min(1.0, 40 * t.count(",") / size[i]), (cue := bool(CUES.search(t))) and k.main > 0, cue and not k.main,
+            name in ("h1", "h2", "h3", "h4", "h5", "h6"), name in ("p", "pre", "blockquote"), name in ("li", "dt", "dd"), name in ("td", "th", "caption"), k.main > 0, any_main and not k.main,
+            not any_main, k.bad and not k.main, k.bad and k.main > 0, k.comment, k.good, k.never and not k.main, k.never and k.main > 0, k.header, i < n / 5, i >= n - n / 5,
+            log[i - 1] if i else 0.0, log[i + 1] if i + 1 < n else 0.0,
+        )
+    return out
+
+
+@lru_cache(maxsize=1)
+def classifier() -> np.ndarray:
+    """A weight for each of FEATURES: logistic regression by Newton's method on practice.PAGES made-up pages."""
+    from corpusloom.llm import practice
+
+    x, y = [], []
+    for html, labels in practice.pages():
+        found = blocks(html)
+        x.append(features(found))
+        y += [labels(b.text) for b in found]
+    return logistic(np.vstack(x), np.array(y, dtype=float))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, shrink: float = 0.5, steps: int = 25) -> np.ndarray:
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + shrink * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x + shrink * np.eye(len(w))
+        step = np.linalg.solve(curve, grad)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def costs(found: list[Block], weights: np.ndarray) -> tuple[list[float], list[float]]:
+    """For each block the costs of calling it content, and of calling it boilerplate."""
+    z = np.clip(features(found) @ weights, -30, 30)
+    return np.log1p(np.exp(-z)).tolist(), np.log1p(np.exp(z)).tolist()
 
 
 def distance(a: Node, b: Node) -> int:
@@ -271,13 +376,13 @@ def minimum_cut(content: list[float], boiler: list[float], edges: list[tuple[int
                 break
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights: np.ndarray | None = None) -> str:
     """The text of the blocks that the cut labels as content, joined by spaces. Null or empty: empty."""
     found = blocks(html) if html else []
     if not found:
         return ""
-    content, boiler = zip(*map(costs, found), strict=True)
-    keep = minimum_cut(list(content), list(boiler), smoothness(found))
+    content, boiler = costs(found, classifier() if weights is None else weights)
+    keep = minimum_cut(content, boiler, smoothness(found))
     return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
@@ -285,15 +390,16 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url")) -> Da
     """The columns of `carry`, text and n_chars (its code points), one row for each row of pages.
 
     The whole html is read; a null or empty one, or one without content, gives an empty text. Repeated rows are read one by one;
-    other columns are not. No shuffle.
+    other columns are not. The classifier is trained on the driver, some 27 numbers, and goes with the tasks. No shuffle.
     """
     tune(pages.sparkSession)
     rows = pages.select(*dict.fromkeys((*carry, "html")))
     kinds = dict(rows.dtypes)
+    weights = classifier()
 
     def go(batches):
         for b in batches:
-            texts = [main_text(h) for h in b.column("html").to_pylist()]
+            texts = [main_text(h, weights) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*carry, "text", "n_chars"])
 
     return rows.mapInArrow(go, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "text string, n_chars long"]))
