@@ -6,10 +6,11 @@
    sorted, so a region of alike documents may span many tasks. A region is a run of rows with DEPTH first values in common;
    one with more than SMALL rows is split by further values, as deep as the key goes, until its parts are small or end.
 3. First each row of a region is held against the region's smallest id: a star, as many pairs as rows. After those links
-   are joined into components, only rows of one part whose components still differ are paired.
-4. Rows of a region of more than SMALL rows that splitting sets apart are paired by prefix filter: of two sets as alike as asked,
-   the rarest shingles meet. This is exact, whatever signatures say.
+   are joined into components, only rows of one part (SMALL rows at most) whose components still differ are paired.
+4. Rows of a region of more than SMALL rows are paired by prefix filter if their components differ: of two sets as alike as
+   asked, the rarest shingles meet. This is exact, whatever signatures say, so that the depth of a region loses no pair.
 5. Every pair is confirmed on the full sets; a link is never assumed from signatures.
+6. Rows that share a doc_id are one document: their sets are joined whatever they hold.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ VALUES, TREES, STRIDE, KEY, DEPTH = 128, 24, 5, 8, 4
 #: A region with more rows is split by further values.
 SMALL = 64
 
+#: Pairs of one row that a copy of its text serves in confirmation.
+HEAD_PAIRS = 2000
+
 #: Cells of the counts by which shingles are ranked, rarest first. Any ranking is right; a better one gives fewer pairs.
 CELLS = 1 << 20
 
@@ -129,10 +133,12 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return xxh3_64_intdigest(bytes([t, len(prefix)]) + prefix.tobytes()) - (1 << 63)
 
     def parts(k: np.ndarray, at: np.ndarray, depth: int):
-        if len(at) <= SMALL or depth == KEY:
+        if len(at) <= SMALL:
             if len(at) > 1:
                 yield at, depth
             return
+        if depth == KEY:
+            return  # its rows are REGION rows too, and meet by prefix filter
         cuts = np.flatnonzero(k[at[1:], depth] != k[at[:-1], depth]) + 1
         for part in np.split(at, cuts):
             yield from parts(k, part, depth + 1)
@@ -208,7 +214,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 keep.append(both > 0 and 100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([b.column("lo"), b.column("hi")], names=["lo", "hi"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = pairs.join(texts.select(F.col("id").alias("hi"), F.col("text").alias("y")), "hi").join(texts.select(F.col("id").alias("lo"), F.col("text").alias("x")), "lo")
+    # A row that is held against many others is copied, once for each HEAD_PAIRS of them, so that no task gets all its pairs.
+    heavy = pairs.groupBy("lo").agg(F.count("*").alias("n")).where(F.col("n") > HEAD_PAIRS).select("lo", F.ceil(F.col("n") / HEAD_PAIRS).cast("int").alias("copies"))
+    salted = pairs.join(heavy, "lo", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("hi"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+    left = texts.select(F.col("id").alias("lo"), F.col("text").alias("x")).join(heavy, "lo", "left")
+    left = left.select("lo", "x", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)).alias("salt"))
+    rows = salted.join(texts.select(F.col("id").alias("hi"), F.col("text").alias("y")), "hi").join(left, ["lo", "salt"])
     return rows.select("lo", "hi", "x", "y").mapInArrow(go, "lo long, hi long")
 
 
@@ -303,6 +314,15 @@ def _alike(percent: int) -> Column:
     return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n2")))
 
 
+def _same_document(all_rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(doc_id, id, low) for each set of a doc_id that has several: the set's representative, null if it is empty, and the smallest
+    representative of the doc_id's sets."""
+    rows = all_rows.where("doc_id is not null").select("doc_id", "digest").distinct()
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
+    found = rows.join(several, "doc_id", "left_semi").join(reps.select("digest", "id"), "digest", "left")
+    return found.join(found.groupBy("doc_id").agg(F.min("id").alias("low")), "doc_id").select("doc_id", "id", "low")
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of documents.
 
@@ -320,7 +340,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     stars = cut(_pairs(found.where(F.col("kind") == STAR).select("a", "b").union(across.toDF("a", "b")), F.col("a"), F.col("b")))
     wanted = found.where(F.col("kind") == MEMBER).select(F.col("b").alias("id")).union(stars.select("lo")).union(stars.select("hi")).distinct()
     texts = cut(documents.select(F.col("doc_id").alias("id"), "text").join(wanted, "id"))
-    links = cut(confirmed(stars, texts, size, percent))
+    same = cut(_same_document(all_rows, reps))
+    links = cut(confirmed(stars, texts, size, percent)).union(same.where("id is not null").select(F.col("low").alias("lo"), F.col("id").alias("hi")).where("lo <> hi"))
     labels = components(links)
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("part"), F.col("b").alias("id"))
     members = members.join(labels, "id", "left").select("part", "id", F.coalesce("label", "id").alias("label"))
@@ -339,7 +360,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
             labels = components(links.union(cut(confirmed(far, texts, size, percent))))
     classes = reps.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class"))
     out = all_rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    component = F.coalesce("class", "doc_id")
+    # A row without words of a document that has other rows goes where those go.
+    others = same.where("id is not null").select("doc_id", F.col("low").alias("id")).distinct().join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("whole"))
+    out = out.join(others, "doc_id", "left")
+    component = F.coalesce("class", "whole", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
