@@ -107,12 +107,12 @@ class Pieces:
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for e, hit in self.auto.iter(text):
             starts[e - hit[0] + 1].append(hit)  # at each start from short to long
-        failed, out, at, pos = 0, [], [len(starts[0])], 0
+        failed, out, at, pos = bytearray(n // 8 + 1), [], [len(starts[0])], 0
         while pos < n:
             tries, k = starts[pos], at[-1] - 1
             while k >= 0:
                 size, i = tries[k]
-                if not failed >> (pos + size) & 1 and (not out or fit(out[-1][1], i)):
+                if not failed[pos + size >> 3] >> (pos + size & 7) & 1 and (not out or fit(out[-1][1], i)):
                     break
                 k -= 1
             at[-1] = k
@@ -122,7 +122,7 @@ class Pieces:
                 if pos < n:
                     at.append(len(starts[pos]))
             else:
-                failed |= 1 << pos  # any valid sequence up to here is the same one, so that no other can go on either
+                failed[pos >> 3] |= 1 << (pos & 7)  # any valid sequence up to here is the same one, so that no other can go on either
                 at.pop()
                 if not out:
                     raise AssertionError("no valid sequence")

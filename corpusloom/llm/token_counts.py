@@ -59,6 +59,18 @@ def frequent_words(documents: DataFrame) -> list[str]:
     return sorted(pickle.loads(sketches.treeReduce(_merge, 3)) if sketches.getNumPartitions() else ())
 
 
+def splits_at_spaces(tokenizer) -> bool:
+    """Whether no pre-token of a tokenizer, and nothing that stands for it, holds a space or line feed, so that words can be looked up alone."""
+    probe = " a  b1 \n c,d \ne's  F  "
+    if tokenizer.pre_tokenizer is None:
+        return False
+    text = tokenizer.normalizer.normalize_str(probe) if tokenizer.normalizer else probe
+    if "".join(p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)) != "".join(text.split()):
+        return False
+    alone = [i for w in split(probe) if w for i in tokenizer.encode(w, add_special_tokens=False).ids]
+    return tokenizer.encode(probe, add_special_tokens=False).ids == alone
+
+
 class Lengths(dict):
     """The number of tokens of a word."""
 
@@ -94,7 +106,8 @@ _made: dict[int, Lengths] = {}
 def count_tokens(documents: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("doc_id",), limit: int = 2048) -> DataFrame:
     """The columns of `carry`, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit), one row for each row of documents.
 
-    tokenizer_path: a .json file of the tokenizers library (64 MB at most) whose pre-tokens hold no white space; no begin, end
+    tokenizer_path: a .json file of the tokenizers library (64 MB at most). Where its pre-tokens may hold white space, as in byte-level
+    vocabularies, the library counts whole texts, since no word can be looked up alone; no begin, end
     or other special tokens are added, special strings inside a text count as the library counts them. A null or empty text has 0
     bytes and tokens. Repeated rows are counted one by one; other columns are not read.
     """
@@ -105,7 +118,9 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, carry: tuple[str, ..
     if len(model) > 64_000_000:
         raise ValueError("the tokenizer is larger than 64 MB")
     table = Lengths(model, {})
-    table.learn(set(frequent_words(documents)))
+    by_word = splits_at_spaces(table.tokenizer)
+    if by_word:
+        table.learn(set(frequent_words(documents)))
     shared = spark.sparkContext.broadcast((model, dict(table)))
     rows = documents.select(*dict.fromkeys((*carry, "text")))
     kinds = dict(rows.dtypes)
@@ -123,9 +138,12 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, carry: tuple[str, ..
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
                 texts = part.column("text").to_pylist()
-                split_texts = [split(t) for t in texts]
-                lengths.learn({w for s in split_texts for w in s if w not in lengths})
-                n = [sum(map(lengths.__getitem__, s)) for s in split_texts]
+                if by_word:
+                    split_texts = [split(t) for t in texts]
+                    lengths.learn({w for s in split_texts for w in s if w not in lengths})
+                    n = [sum(map(lengths.__getitem__, s)) for s in split_texts]
+                else:
+                    n = [len(e.ids) for e in lengths.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
                 size = [len(t.encode()) if t else 0 for t in texts]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[*carry, "n_bytes", "n_tokens", "over_limit"])
 
