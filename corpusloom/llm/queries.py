@@ -30,10 +30,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-x AS (SELECT r, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
-k AS (SELECT r, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
-hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+WITH d AS (SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY doc_id, text) AS own, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, own, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
+k AS (SELECT r, own, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT own) >= 10),
 m AS (SELECT r, pos, line, key IN (SELECT key FROM hot) AS gone FROM k),
 g AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY r)
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN g USING (r)
@@ -68,13 +68,10 @@ def _windows(name: str, size: int) -> str:
 
 
 OP3_SQL = rf"""
-WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w FROM documents),
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D ]+') AS w FROM documents),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
-dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^ 	-
-]') GROUP BY r),{_windows("short", 5)},{_windows("long", 10)},{_windows("longest", 51)},
-c AS (SELECT t.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
-]', '', 'g'))::BIGINT AS word_chars,
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x09-\x0D ]') GROUP BY r),{_windows("short", 5)},{_windows("long", 10)},{_windows("longest", 51)},
+c AS (SELECT t.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x09-\x0D ]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(short.n, 0)::BIGINT AS n_repeat_words,
   coalesce(long.n, 0) AS covered, longest.r IS NOT NULL AS too_long
   FROM t LEFT JOIN dup USING (r) LEFT JOIN short USING (r) LEFT JOIN long USING (r) LEFT JOIN longest USING (r)),
@@ -89,17 +86,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op4_sql() -> str:
+    """Hosts by their ends, paths by their beginnings, words by their places among the parts of a url: none of the engine's patterns."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    rules = ", ".join(f"({quote(r.name)}, {quote(r.kind)}, {quote(r.verdict)}, {quote(r.pattern)})" for r in url_filter.PLACES + url_filter.WORDS)
+    places = ", ".join(f"({quote(r.name.split('/', 1)[0])}, {quote('/' + r.name.split('/', 1)[1])}, {quote(r.verdict)})" for r in url_filter.PLACES)
+    words = ", ".join(f"([{', '.join(map(quote, r.tokens))}], {quote(r.verdict)})" for r in url_filter.WORDS)
     lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return rf"""
-WITH rules(name, kind, verdict, pattern) AS (VALUES {rules}),
-p AS (SELECT row_number() OVER () AS r, page_id, translate(url, {lower}) AS url, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 1), {lower}) AS host,
-  regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-f AS (SELECT r, kind, name, verdict FROM p, rules WHERE regexp_matches(CASE kind WHEN 'place' THEN host || path ELSE url END, pattern)),
-b AS (SELECT r, arg_max(name, (length(name), name)) AS rule, arg_max(verdict, (length(name), name)) AS verdict FROM f WHERE kind = 'place' GROUP BY r),
-u AS (SELECT r, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS blocked FROM f WHERE kind = 'url' GROUP BY r)
-SELECT page_id, host, path, rule, coalesce(b.verdict, CASE WHEN u.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN b USING (r) LEFT JOIN u USING (r)
+WITH places(h, p, verdict) AS (VALUES {places}), words(w, verdict) AS (VALUES {words}),
+u AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS spot FROM pages),
+v AS (SELECT r, page_id, url, CASE WHEN spot > 0 THEN string_split(string_split(substr(url, spot + 3), '?')[1], '#')[1] ELSE '' END AS rest FROM u),
+p AS (SELECT r, page_id, string_split_regex(translate(url, {lower}), '[^a-z0-9]') AS parts, translate(string_split(rest, '/')[1], {lower}) AS host, substr(rest, length(string_split(rest, '/')[1]) + 1) AS path FROM v),
+b AS (SELECT r, arg_max(h || places.p, (length(h || places.p), h || places.p)) AS rule, arg_max(verdict, (length(h || places.p), h || places.p)) AS verdict FROM p, places WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, places.p) GROUP BY r),
+f AS (SELECT r, words.verdict FROM p, words WHERE len(list_filter(range(1, len(parts) - len(w) + 2), lambda i: parts[i:i + len(w) - 1] = w)) > 0),
+s AS (SELECT r, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS blocked FROM f GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(b.verdict, CASE WHEN s.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN b USING (r) LEFT JOIN s USING (r)
 """
 
 
@@ -121,17 +121,16 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
-n AS (SELECT doc_id, len(g) AS n FROM s),
-e AS (SELECT doc_id, unnest(g) AS g FROM s),
-c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D ]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
+n AS (SELECT r, doc_id, len(g) AS n FROM s),
+e AS (SELECT r, unnest(g) AS g FROM s WHERE doc_id IS NOT NULL),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * shared >= 80 * (p.n + q.n - shared) UNION SELECT a.r, b.r FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.r < b.r),
 u AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
-r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.y FROM r JOIN u ON r.b = u.x),
-m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
-SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m ON a = doc_id
+r AS (SELECT r AS a, r AS b FROM d UNION SELECT r.a, u.y FROM r JOIN u ON r.b = u.x),
+m AS (SELECT a, min(doc_id) AS component_id FROM r JOIN d ON r.b = d.r GROUP BY a)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, TRUE) AS kept FROM n JOIN m ON a = r
 """
 
 

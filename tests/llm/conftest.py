@@ -40,3 +40,16 @@ def documents(spark, corpus):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], COLS)
+
+
+@pytest.fixture(scope="session")
+def alike():
+    """Whether a DataFrame has the rows of a DuckDB relation."""
+
+    def check(df, found):
+        assert sorted(df.columns) == sorted(found.columns)
+        order = sorted(df.columns)
+        rows = lambda all_rows, cols: sorted(repr(tuple(dict(zip(cols, r))[c] for c in order)) for r in all_rows)
+        assert rows(map(tuple, df.collect()), df.columns) == rows(found.fetchall(), found.columns)
+
+    return check
