@@ -82,14 +82,15 @@ def provenance(keyword: Column, semantic: Column, phrase: Column) -> Column:
 
 
 def matches_expected(actual: Column, expected: Column) -> Column:
-    """~text: contains; >=N, <=N, >N, <N: compares numbers; else equality. Null where a number is wanted and there is none."""
-    number = actual.try_cast("double")
-    bound = F.regexp_extract(expected, r"^(?:>=|<=|>|<)\s*(-?[0-9.]+)$", 1).try_cast("double")
+    """~text: contains, whatever the case; >=N, <=N, >N, <N: compares numbers, false where there is none; else equality. Both are trimmed."""
+    a, e = F.trim(F.coalesce(actual, F.lit(""))), F.trim(F.coalesce(expected, F.lit("")))
+    compares = r"^(>=|<=|>|<)\s*(-?[0-9]+(?:\.[0-9]+)?)$"
+    sign, bound = F.regexp_extract(e, compares, 1), F.regexp_extract(e, compares, 2).try_cast("double")
+    number = F.when(a == "", 0.0).otherwise(a.try_cast("double"))  # nothing counts as 0
+    number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    holds = F.when(sign == ">=", number >= bound).when(sign == "<=", number <= bound).when(sign == ">", number > bound).otherwise(number < bound)
     return (
-        F.when(expected.startswith("~"), F.contains(actual, F.trim(F.substr(expected, F.lit(2)))))
-        .when(expected.startswith(">="), number >= bound)
-        .when(expected.startswith("<="), number <= bound)
-        .when(expected.startswith(">"), number > bound)
-        .when(expected.startswith("<"), number < bound)
-        .otherwise(F.trim(actual) == F.trim(expected))
+        F.when(e.startswith("~"), F.contains(F.lower(a), F.lower(F.trim(F.substr(e, F.lit(2))))))
+        .when(sign != "", F.coalesce(holds, F.lit(False)))
+        .otherwise(a == e)
     )

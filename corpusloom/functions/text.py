@@ -106,42 +106,71 @@ def first_words(text: Column | str, n: int) -> Column:
 
 
 def synth_description(body: Column | str) -> Column:
-    """First heading and first paragraph (six lines at most), joined by a dash, 400 characters at most; (no description) for nothing."""
+    """The heading on the first line that isn't blank, if that is one, and the first paragraph after it (six lines at most), joined
+    by a dash, 400 characters at most; (no description) for nothing."""
     b = F.coalesce(_col(body), F.lit(""))
-    head = F.trim(F.regexp_extract(b, r"(?m)^#{1,6}[ \t]+(.*)$", 1))
-    lines = F.transform(F.split(b, "\n"), lambda x: F.trim(x))
+    every = F.split(b, "\n")
+    empty = F.array().cast("array<string>")
+    lead = F.aggregate(every, F.lit(0), lambda n, x: F.when((n < 0) | (F.trim(x) != "") , F.when(n < 0, n).otherwise(-n - 1)).otherwise(n + 1))
+    first = F.when(lead < 0, -lead - 1)  # place of the first line that isn't blank
+    line = F.get(every, first.cast("int"))
+    titled = F.coalesce(line.rlike(r"^#{1,6}\s+"), F.lit(False))
+    head = F.when(titled, F.trim(F.regexp_replace(line, r"^#{1,6}\s+", ""))).otherwise(F.lit(""))
+    start = F.coalesce(first + F.when(titled, 1).otherwise(0), F.size(every))
+    rest = F.slice(every, (start + 1).cast("int"), F.greatest(F.lit(0), F.size(every) - start).cast("int"))
     para = F.aggregate(
-        lines,
-        F.struct(F.array().cast("array<string>").alias("got"), F.lit(False).alias("over")),
+        F.transform(rest, lambda x: F.trim(x)),
+        F.struct(empty.alias("got"), F.lit(False).alias("over")),
         lambda acc, x: F.when(acc["over"], acc)
-        .when((x == "") | x.rlike("^#{1,6}\\s"), F.struct(acc["got"].alias("got"), (F.size(acc["got"]) > 0).alias("over")))
+        .when((x == "") | x.rlike(r"^#{1,6}\s"), F.struct(acc["got"].alias("got"), (F.size(acc["got"]) > 0).alias("over")))
         .otherwise(F.struct(F.concat(acc["got"], F.array(x)).alias("got"), (F.size(acc["got"]) >= 5).alias("over"))),
         lambda acc: F.array_join(acc["got"], " "),
     )
-    both = F.substring(F.array_join(F.filter(F.array(head, para), lambda x: x != ""), " — "), 1, 400)
+    both = F.array_join(F.filter(F.array(head, para), lambda x: x != ""), " — ")
+    both = F.substring(F.regexp_replace(both, r"\s+", " "), 1, 400)
     return F.when(both == "", "(no description)").otherwise(both)
 
 
+# Shapes of commits and of names of code.
+SHA = r"\b[0-9a-f]{7,10}\b"
+IDENTIFIERS = (r"\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+\b", r"--[a-z][a-z0-9-]{2,}\b", r"\b[\w.-]+/[\w./-]+\.[a-z]{2,4}\b")
+
+
 def extract_shas(text: Column | str) -> Column:
-    """Distinct words of 7 to 10 hex digits that aren't all decimal digits."""
-    found = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(r"\b([0-9a-f]{7,10})\b"), F.lit(1))
+    """Distinct words of 7 to 10 hex digits that aren't all decimal digits; in a text with two or more --- only what follows the second."""
+    t = F.coalesce(_col(text), F.lit(""))
+    parts = F.split(t, "---")
+    scan = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "---")).otherwise(t)
+    found = F.regexp_extract_all(scan, F.lit(SHA), F.lit(0))
     return F.array_distinct(F.filter(found, lambda x: ~x.rlike("^[0-9]+$")))
 
 
 def extract_identifiers(text: Column | str) -> Column:
-    """Distinct CONSTANT_CASE names, --flags and file names with an extension, in that order."""
+    """Distinct CONSTANT_CASE names, --flags of three letters or more and paths with a slash and an ending, in that order."""
     t = F.coalesce(_col(text), F.lit(""))
-    kinds = (r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\b", r"(?:^|[^A-Za-z0-9-])(--[a-z][a-z0-9-]+)", r"\b([A-Za-z0-9_/-]+\.(?:js|mjs|ts|py|sh|json|md|sql))\b")
-    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(t, F.lit(k), F.lit(1)) for k in kinds))))
+    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(t, F.lit(k), F.lit(0)) for k in IDENTIFIERS))))
+
 
+# What an address looks like, and hosts of free mail.
+ADDRESS = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+FREE_MAIL = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "me.com", "msn.com", "live.com", "comcast.net", "protonmail.com", "proton.me", "gmx.com")
 
-def scrub_emails(text: Column | str, keep: tuple[str, ...] = ()) -> Column:
-    """Addresses of free mail hosts become [email], others [email@host]; those of `keep` stay."""
+
+def scrub_emails(text: Column | str, keep_domains: tuple[str, ...] = (), keep_addresses: tuple[str, ...] = ()) -> Column:
+    """Addresses of free mail hosts become [email], others [email@host] in lower case; those kept, or of kept domains and their
+    subdomains, stay."""
     t = F.coalesce(_col(text), F.lit(""))
-    spare = "".join(f"(?!{k.replace('.', chr(92) + '.')}\\b)" for k in keep)
-    free = r"(?:gmail|googlemail|yahoo|hotmail|outlook|live|icloud|proton|protonmail|gmx|aol)\.[a-z.]+"
-    t = F.regexp_replace(t, rf"(?i)\b{spare}[a-z0-9._%+-]+@{free}\b", "[email]")
-    return F.regexp_replace(t, rf"(?i)\b{spare}[a-z0-9._%+-]+@([a-z0-9-]+(?:\.[a-z0-9-]+)+)\b", r"[email@$1]")
+
+    def hidden(full: Column) -> Column:
+        addr = F.lower(full)
+        dom = F.substring_index(addr, "@", -1)
+        stay = addr.isin(*(a.lower() for a in keep_addresses)) if keep_addresses else F.lit(False)
+        for d in keep_domains:
+            stay = stay | (dom == d.lower()) | dom.endswith("." + d.lower())
+        return F.when(stay, full).when(dom.isin(*FREE_MAIL), "[email]").otherwise(F.concat(F.lit("[email@"), dom, F.lit("]")))
+
+    between, found = F.split(t, ADDRESS), F.regexp_extract_all(t, F.lit(ADDRESS), F.lit(0))
+    return F.array_join(F.zip_with(between, F.transform(found, hidden), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 # Closed classes of secrets.
@@ -168,24 +197,30 @@ def secret_hits(text: Column | str) -> Column:
 
 
 def html_to_markdownish(html: Column | str) -> Column:
-    """Scripts, styles and head go; headings become #, block ends blank lines, tags vanish, six entities are decoded."""
-    t = F.regexp_replace(F.coalesce(_col(html), F.lit("")), r"(?is)<(script|style|head)\b.*?</\1>", " ")
+    """Scripts, styles and head go; headings become # lines, block ends blank lines, br and hr line ends, tags vanish, six entities are
+    decoded in order."""
+    t = F.regexp_replace(F.coalesce(_col(html), F.lit("")), r"(?is)<(script|style|head).*?</\1>", " ")
     for level in range(1, 7):
-        t = F.regexp_replace(t, rf"(?is)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
-    t = F.regexp_replace(t, r"(?i)</(?:p|div|h[1-6]|li|tr|section|article|ul|ol|table)>|<br\s*/?>", "\n\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \n"))
+        whole = rf"(?is)<h{level}[^>]*>(.*?)</h{level}>"
+        between, inner = F.split(t, whole), F.regexp_extract_all(t, F.lit(whole), F.lit(1))
+        head = F.transform(inner, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " ")))  # noqa: B023
+        marked = F.transform(head, lambda x: F.concat(F.lit("\n\n" + "#" * level + " "), x, F.lit("\n\n")))  # noqa: B023
+        t = F.array_join(F.zip_with(between, marked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    t = F.regexp_replace(t, r"(?i)</(?:p|div|li|tr|table|ul|ol|blockquote|section|article)>", "\n\n")
+    t = F.regexp_replace(t, r"(?i)<(?:br|hr)\s*/?>", "\n")
+    t = F.regexp_replace(t, "<[^>]+>", " ")
+    for entity, letter in (("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("&#0?39;", "'")):
+        t = F.regexp_replace(t, entity, letter)
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def proseness(text: Column | str) -> Column:
-    """Mean words of sentences longer than 20 characters, by 25, damped by the share of symbols; null below 100 characters."""
+    """Mean words of sentences longer than 20 characters, by 25, damped by the share of symbols, from 0 to 1; null below 100 characters."""
     t = F.coalesce(_col(text), F.lit(""))
-    sentences = F.filter(F.transform(F.split(t, r"[.!?]+\s"), lambda x: F.trim(x)), lambda s: F.length(s) > 20)
+    sentences = F.filter(F.split(t, r"[.!?]+\s"), lambda s: F.length(F.trim(s)) > 20)
     counts = F.transform(sentences, lambda s: F.size(F.split(s, r"\s+")).cast("double"))
     mean = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) / F.size(counts)
-    share = F.length(F.regexp_replace(t, r"[^{}()\[\];=<>|$#@\\/_]", "")) / F.length(t)
-    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean / 25)) * (1 - F.least(F.lit(1.0), 40 * share))
-    return F.when(F.length(t) < 100, F.lit(None).cast("double")).when(F.size(sentences) == 0, 0.0).otherwise(value)
+    share = F.length(F.regexp_replace(t, r"[^{}()\[\]<>|=;$#]", "")) / F.length(t)
+    value = (mean / 25) * (1 - F.least(F.lit(1.0), 40 * share))
+    return F.when(F.length(t) < 100, F.lit(None).cast("double")).when(F.size(sentences) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))

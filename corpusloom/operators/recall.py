@@ -135,20 +135,24 @@ def rollup(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("query_id").agg(F.bool_or("stale").alias("stale"), F.bool_and("no_strong_match").alias("no_strong_match"), F.sum("candidates").alias("candidates"))
 
 
-def route(query: Column) -> Column:
-    """The corpus that a question's wording points to; null for all of the usual ones."""
-    q = F.lower(query)
-    return (
-        F.when(q.rlike(r"\b(handoff|hand-off|handover|where (?:did|were) we|pick up where)\b"), "handoff")
-        .when(q.rlike(r"\b(when did|last time|yesterday|last (?:week|month|night)|what did (?:i|we|you) (?:say|ask|decide|do))\b"), "staging")
-        .when(q.rlike(r"\b(rule|policy|convention|always|never|must|standard)\b"), "curated")
-    )
+# Wordings of questions about an event, about a rule, and about what was handed over; shapes of code.
+EVENT = r"(?i)\b(that night|last night|yesterday|earlier|this morning|when we|what did we|did we ever|we decided|we said|at the time|back then|during (the|that))\b"
+RULE = r"(?i)\b(what is the rule|how do I|how should|what should I|the rule about|policy|convention|always|never)\b"
+HANDOFF = r"(?i)\b(hand-?off|handed over|handing over|phase\s*\d|where (did|do) (we|i) leave|picking (this|it) up|next session|state of (the|this) (project|campaign|work|effort))\b"
+CODE_SHAPES = (r"\b[0-9a-f]{7,40}\b", r"\b[\w.-]+/[\w./-]+\.[a-z]{1,5}\b", r"\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+\b", r"(?:^|\s)--[a-z][a-z0-9-]{2,}\b", r"\b[a-z][\w$]*\(\)")
+
+
+def route(query: Column, projects: bool = False) -> Column:
+    """The scope for a question that names none: all if its wording asks for a handoff or, more than for a rule, for an event, or if other
+    projects have folders; else curated."""
+    q = F.coalesce(query, F.lit(""))
+    wide = q.rlike(HANDOFF) | (q.rlike(EVENT) & ~q.rlike(RULE)) | F.lit(projects)
+    return F.when(wide, "all").otherwise("curated")
 
 
 def looks_technical(query: Column) -> Column:
-    """Whether a query names things of code: paths, flags, constants, calls or hashes."""
-    shapes = (r"[A-Za-z0-9_-]+/[A-Za-z0-9_./-]+", r"(?:^|\s)--[a-z]", r"\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b", r"\b\w+\(\)", r"\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{7,40}\b")
+    """Whether a query names things of code: a commit, a path, a constant, a flag or a call."""
     out = F.lit(False)
-    for s in shapes:
-        out = out | query.rlike(s)
+    for s in CODE_SHAPES:
+        out = out | F.coalesce(query, F.lit("")).rlike(s)
     return out

@@ -26,6 +26,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def sections(docs: DataFrame, least: int = K.SECTION_CHARS) -> DataFrame:
     """corpus, name, section_no, heading, slug, text, char_start, char_end: blocks that start with ## outside fences, `least` characters or more.
+    char_end is where the next line would start.
 
     Equal slugs of a document get -2, -3, ... in order.
     """
@@ -35,7 +36,7 @@ def sections(docs: DataFrame, least: int = K.SECTION_CHARS) -> DataFrame:
     made = rows.groupBy("corpus", "name", "section_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
         F.min("char_start").alias("char_start"),
-        F.max(F.col("char_start") + F.length("line")).alias("char_end"),
+        F.max(F.col("char_start") + F.length("line") + 1).alias("char_end"),
     ).where(F.length("text") >= least)
     made = made.withColumn("heading", F.trim(F.regexp_extract("text", r"^##\s+([^\n]*)", 1))).withColumn("slug", slug("heading"))
     again = F.row_number().over(Window.partitionBy("corpus", "name", "slug").orderBy("section_no"))

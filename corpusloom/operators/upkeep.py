@@ -157,16 +157,28 @@ def claim_share(claim_terms: Column, body: Column) -> Column:
     return F.when(F.size(claim_terms) >= K.CLAIM_TERMS, held / F.size(claim_terms))
 
 
+# Marks of code in a document, and their weights.
+CODE_SIGNALS = {
+    "fence": "```",
+    "path": r"\b[\w.-]+/[\w./-]+\.(js|ts|py|json|md|sh|yml|yaml|html|css|go|rs|java)\b",
+    "const": r"\b[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+\b",
+    "sha": r"\b[0-9a-f]{7,10}\b",
+    "flag": r"(?:^|\s)--[a-z][a-z0-9-]{2,}\b",
+    "call": r"\b[a-zA-Z_$][\w$]*\([^)]{0,40}\)",
+}
+CODE_WEIGHTS = {"fence": 0.30, "path": 0.25, "const": 0.15, "sha": 0.15, "flag": 0.10, "call": 0.05}
+
+
 def corpus_profile(docs: DataFrame) -> DataFrame:
-    """corpus, code_score, mean proseness (4 decimals) and domain: the shares of documents with each marker of code, weighted."""
-    markers = {"fence": "```", "path": r"(?:^|\s)(?:\.{0,2}/)?[\w.-]+/[\w./-]+\.\w{1,4}\b", "const": r"\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b", "sha": r"\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{7,10}\b", "flag": r"(?:^|\s)--[a-z][a-z-]+", "call": r"\b\w+\([^)\n]*\)"}
-    weights = {"fence": 0.30, "path": 0.25, "const": 0.15, "sha": 0.15, "flag": 0.10, "call": 0.05}
+    """corpus, code_score, mean proseness (3 decimals both), domain and confidence (2): the weighted shares of documents with each mark
+    of code, over all documents."""
     body = F.coalesce("body", F.lit(""))
-    shares = docs.groupBy("corpus").agg(*(F.avg(body.rlike(p).cast("double")).alias(n) for n, p in markers.items()), F.avg(proseness("body")).alias("proseness"))
-    code = reduce(Column.__add__, (F.col(n) * w for n, w in weights.items()))
-    rows = shares.withColumn("code_score", F.round(code, 4))
+    shares = docs.groupBy("corpus").agg(*(F.round(F.avg(body.rlike(p).cast("double")), 3).alias(n) for n, p in CODE_SIGNALS.items()), F.round(F.coalesce(F.avg(proseness("body")), F.lit(0.0)), 3).alias("proseness"))
+    code = reduce(Column.__add__, (F.col(n) * w for n, w in CODE_WEIGHTS.items()))
+    rows = shares.withColumn("code_score", F.round(code, 3))
     domain = F.when(F.col("code_score") >= 0.08, "code").when(F.col("code_score") <= 0.03, "prose").otherwise("mixed")
-    return rows.select("corpus", "code_score", F.round("proseness", 4).alias("proseness"), domain.alias("domain"))
+    sure = F.when(F.col("code_score") >= 0.08, F.least(F.lit(1.0), 0.5 + F.col("code_score"))).when(F.col("code_score") <= 0.03, F.least(F.lit(1.0), 0.6 + 0.4 * F.col("proseness"))).otherwise(0.45)
+    return rows.select("corpus", "code_score", "proseness", domain.alias("domain"), F.round(sure, 2).alias("confidence"))
 
 
 def commits_asof(commits: DataFrame, asks: DataFrame, tail_minutes: int = K.COMMIT_TAIL_MINUTES, keep: int = K.COMMITS_KEPT) -> DataFrame:
@@ -220,8 +232,8 @@ def probe_verdicts(probes: DataFrame, files: DataFrame, as_of: Column) -> DataFr
     """name, verdict (FRESH, STALE, UNKNOWN, UNPROVABLE) of probes (name, probe, expected, valid_until) over files (path, text)."""
     p = probes.withColumn("p", parse_probe(F.col("probe"))).select("name", "expected", "valid_until", "p.predicate", "p.args")
     f = files.select(F.col("path"), "text")
-    rows = p.join(f, F.get("args", F.when(F.col("predicate") == "grep_count", 1).otherwise(0)) == F.col("path"), "left")
-    count = F.when(F.col("predicate") == "grep_count", F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.get("args", F.lit(0))))).cast("string"))
+    rows = p.join(f, F.get("args", F.lit(0)) == F.col("path"), "left")
+    count = F.when((F.col("predicate") == "grep_count") & (F.coalesce(F.get("args", F.lit(1)), F.lit("")) != ""), F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.get("args", F.lit(1))))).cast("string"))
     span = F.transform(F.split(F.coalesce(F.get("args", F.lit(1)), F.lit("1-1")), "-"), lambda x: x.try_cast("int"))
     held = F.array_join(F.slice(F.split("text", "\n"), F.greatest(F.lit(1), F.coalesce(F.get(span, F.lit(0)), F.lit(1))), F.greatest(F.lit(0), F.coalesce(F.get(span, F.lit(1)) - F.get(span, F.lit(0)) + 1, F.lit(1)))), "\n")
     actual = (
@@ -285,12 +297,18 @@ def separation(values: DataFrame, column: str, group: str, thresholds: list[floa
     return values.where(F.col(column).isNotNull()).select(group, column, t.alias("threshold")).groupBy(group, "threshold").agg(F.round(F.avg((F.col(column) >= F.col("threshold")).cast("double")), 4).alias("share"))
 
 
+# How a question asks for a whole document.
+READ_VERB = r"(?i)^\s*(?:summari[sz]e|(?:give\s+me\s+)?(?:an?\s+)?(?:summary|overview)\s+of)\b[:,]?\s*"
+
+
 def read_task(queries: DataFrame, titles: DataFrame) -> DataFrame:
-    """query_id, read_task, title: whether a query asks to read a document, by its verb or by a title's slug of 8 characters or more."""
-    verb = r"(?i)^\s*(?:please\s+)?(?:read|open|show(?:\s+me)?|summari[sz]e|review|go through)\b"
-    q = queries.withColumn("slug", slug(F.regexp_replace("query", verb, ""), None, ""))
-    t = titles.select(slug("title", None, "").alias("slug"), "title").where(F.length("slug") >= 8).groupBy("slug").agg(F.min("title").alias("title"))
-    return q.join(t, "slug", "left").select("query_id", (F.col("query").rlike(verb) | F.col("title").isNotNull()).alias("read_task"), "title")
+    """query_id, read_task, title: whether a query asks to read a document: by its verb, or as it is a document's name, by slugs of 8
+    characters or more, without the verb and an article before it. titles: title, and parent_name for sections, which don't count."""
+    rest = F.regexp_replace(F.regexp_replace("query", READ_VERB, ""), r"(?i)^\s*(?:the|a|an)\s+", "")
+    q = queries.withColumn("slug", slug(rest, None, ""))
+    whole = titles.where("parent_name is null") if "parent_name" in titles.columns else titles
+    t = whole.select(slug("title", None, "").alias("slug"), "title").where(F.length("slug") >= 8).groupBy("slug").agg(F.min("title").alias("title"))
+    return q.join(t, "slug", "left").select("query_id", (F.coalesce(F.col("query").rlike(READ_VERB), F.lit(False)) | F.col("title").isNotNull()).alias("read_task"), "title")
 
 
 def silent_share(writes: DataFrame) -> DataFrame:
@@ -299,20 +317,39 @@ def silent_share(writes: DataFrame) -> DataFrame:
     return n.withColumn("silent_share", F.round(1 - F.col("named") / F.col("durable"), 4))
 
 
+# What in a text may go out of date. A version is a word; the others are lines.
+CURRENCY = {
+    "version_token": r"\b(?:v\d{2,3}|Mac v\d+|Win v\d+)\b",
+    "status_flag": r"(?m)^.*(?:🟥|✅|⚠️).*$",
+    "dated_correction": r"(?im)^.*\b(?:corrected|fixed|superseded|updated|changed|ruled|shipped|landed|as of)\b.*\b20\d\d-\d\d(?:-\d\d)?\b.*$",
+    "count_claim": r"(?im)^.*\b\d{1,6}\s+(?:files?|docs?|documents?|memories|entries|commits?|chunks?|tests?|cases?|rows?|models?|dirs?|directories|roots?|probes?|barges?)\b.*$",
+    "port_or_flag": r"(?m)^.*\b(?:port\s+\d{4,5}|:\d{4,5}\b|MEMORY_[A-Z_]+|EB_[A-Z_]+|QSB_[A-Z_]+).*$",
+}
+CURRENCY_HITS = 8
+
+
 def currency_markers(docs: DataFrame) -> DataFrame:
-    """name, and how often each family of words of time occurs in its body."""
-    kinds = {"now": r"(?i)\b(?:currently|at present|right now|as of now)\b", "as_of": r"(?i)\bas of \d{4}-\d{2}-\d{2}", "todo": r"(?i)\b(?:todo|pending|not yet)\b", "version": r"\bv\d+\.\d+", "soon": r"(?i)\b(?:soon|upcoming|next week)\b"}
+    """corpus, name, the hits of each family in the body (8 at most each), their sum, and up to ten distinct versions; documents without a
+    hit are left out."""
     body = F.coalesce("body", F.lit(""))
-    return docs.select("corpus", "name", *(F.regexp_count(body, F.lit(p)).alias(n) for n, p in kinds.items()))
+    rows = docs.select("corpus", "name", *(F.least(F.regexp_count(body, F.lit(p)), F.lit(CURRENCY_HITS)).alias(n) for n, p in CURRENCY.items()), F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\bv\d{2,3}\b"), F.lit(0))), 1, 10).alias("versions"))
+    return rows.withColumn("markers", reduce(Column.__add__, map(F.col, CURRENCY))).where("markers > 0")
+
+
+#: Bytes of all texts of one import that need no category, and endings of books.
+UNCATEGORISED_BYTES, BOOK_ENDINGS = 200 * 1024, ("pdf", "epub", "mobi")
 
 
 def import_decision(items: DataFrame) -> DataFrame:
-    """items (name, text, category) with decision and reason: accepted, skipped (short) or refused (secret; large or a book without category)."""
+    """items (import_id, name, text, category, and source: a file's ending) with decision and reason: accepted, skipped (short) or refused
+    (large or book: the whole import, if it has no category; credential: the one text)."""
     from corpusloom.functions.text import secret_hits
 
-    n = F.length(F.trim(F.coalesce("text", F.lit(""))))
-    book = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?mi)^\s*(?:#+\s*)?chapter\s+\w+")) >= 3
-    secret = F.size(secret_hits("text")) > 0
-    reason = F.when(n < 40, "short").when(secret, "credential").when(F.col("category").isNull() & (n > 200_000), "large").when(F.col("category").isNull() & book, "book")
+    text = F.coalesce("text", F.lit(""))
+    whole = Window.partitionBy("import_id")
+    total = F.sum(F.when(F.col("category").isNull(), F.octet_length(text))).over(whole)
+    books = F.max(F.col("category").isNull() & F.coalesce(F.lower("source").isin(*BOOK_ENDINGS), F.lit(False))).over(whole)
+    loose = F.col("category").isNull()
+    reason = F.when(loose & books, "book").when(loose & (total > UNCATEGORISED_BYTES), "large").when(F.length(F.trim(text)) < 40, "short").when(F.size(secret_hits("text")) > 0, "credential")
     rows = items.withColumn("reason", reason)
     return rows.withColumn("decision", F.when(F.col("reason").isNull(), "accepted").when(F.col("reason") == "short", "skipped").otherwise("refused"))

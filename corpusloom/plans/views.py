@@ -84,3 +84,28 @@ stat AS (SELECT query_id, ideal, ideal + n_absent * missing AS ideal_full, n_pre
   CASE WHEN ideal + n_absent * missing > 0 THEN (SELECT count(*) FROM orph o WHERE o.query_id = s.query_id) * missing / (ideal + n_absent * missing) ELSE 0 END AS orphan_share FROM stats s),
 kw AS (SELECT query_id, name, raw, least(1, greatest(0, (raw - least({K.KEYWORD_FLOOR}, {K.COVERAGE_FLOOR} * ideal)) / (least({K.KEYWORD_FULL}, {K.COVERAGE_FULL} * ideal) - least({K.KEYWORD_FLOOR}, {K.COVERAGE_FLOOR} * ideal)))) * least(1, raw / ideal / {K.COVERAGE_FLOOR}) AS keyword
   FROM raw JOIN stat USING (query_id) WHERE ideal > 0 AND raw > least({K.KEYWORD_FLOOR}, {K.COVERAGE_FLOOR} * ideal))"""
+
+
+#: What texts may hold, by doc_id; the tables at hand hold little of it. Appended to the whole texts.
+NOTES = (
+    "Shipped v112 on 2024-03-02. The port 8080 is open.\nSee lib/git-join.js and --shadow-all, MEMORY_CURRENCY_REPOS at 1a2b3c4d.",
+    "We have 12 documents and 3 tests now.\n✅ done\nMail Ann@GMAIL.com, bob@Corp.Example.com or x@me.com, a.b@sub.acme.org.",
+    "corrected on 2023-11: no longer true\nWin v9 and Mac v10, run(x) and go() at :4321",
+    "summary of the year---front 7fffffff---back abcdef1 1234567",
+    "That is \u26a0\ufe0f fine. One two three four five six seven. " * 4,
+    "src/x.verylong flag --ab and --abc, A_B and AB_C; {x} = [y]; #1 $2 <z>",
+    "",
+)
+
+
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents (doc_id, text), each text with one of NOTES after it."""
+    note = F.element_at(F.array(*map(F.lit, NOTES)), (F.pmod("doc_id", F.lit(len(NOTES))) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), note).alias("text"))
+
+
+def sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+SQL_NOTED = "noted AS (SELECT doc_id, coalesce(text, '') || chr(10) || ([" + ", ".join(map(sql_text, NOTES)) + f"])[(doc_id % {len(NOTES)} + {len(NOTES)}) % {len(NOTES)} + 1] AS text FROM documents)"

@@ -30,17 +30,29 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return j.select(F.coalesce("j.sessionId", "file").alias("session_id"), "line_no", "j.type", "j.operation", "j.reason", F.try_to_timestamp("j.timestamp").alias("ts"), F.coalesce("j.message.role", "j.type").alias("role"), text_of(F.coalesce("j.message.content", "j.content", F.lit(""))).alias("text"))
 
 
-def is_machine_turn(text: Column) -> Column:
-    """Turns that no person typed: notifications, command output, reminders, interruptions, and mostly markup."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    tags = F.aggregate(F.regexp_extract_all(t, F.lit(r"<[^<>]{1,200}>"), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
-    starts = t.rlike(r"^(?:<task-notification>|<local-command-|<command-(?:name|message)>|<system-reminder>|\[Request interrupted|Caveat:)")
-    return (t == "") | starts | (tags > 0.15 * F.length(t))
+# What turns hold or start with that no person typed, and reasons of queued asks that were taken up.
+MACHINE_HOLDS = ("<system-reminder>", "<task-notification>")
+MACHINE_STARTS = (r"^\s*<cross-session-message\b", r"^\[SYSTEM NOTIFICATION", "^Caveat: The messages below", "^<(command-name|local-command|command-message|bash-input|bash-stdout)")
+TAKEN_UP = ("absorbed_mid_turn", "delivered_to_agent")
 
 
-def is_interjection(type_: Column, operation: Column, reason: Column) -> Column:
-    """Queued asks that were taken up while a reply was under way."""
-    return (type_ == "queue-operation") & (operation == "remove") & F.coalesce(reason.isin("user", "delivered", "consumed"), F.lit(False))
+def is_machine_turn(text: Column) -> Column:
+    """Turns that no person typed: reminders and notifications anywhere in them, messages of other sessions, commands and their output, and
+    turns of which more than 15 % is markup."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    tags = F.aggregate(F.regexp_extract_all(t, F.lit("(?i)</?[a-z][a-z0-9-]*>"), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
+    out = (t == "") | (tags > 0.15 * F.length(t))
+    for x in MACHINE_HOLDS:
+        out = out | F.contains(t, F.lit(x))
+    for p in MACHINE_STARTS:
+        out = out | t.rlike(p)
+    return out
+
+
+def is_interjection(type_: Column, operation: Column, reason: Column, content: Column) -> Column:
+    """Queued asks with a text that were taken up while a reply was under way; the reason may be missing."""
+    told = F.coalesce(F.regexp_replace(content, r"\s+", "") != "", F.lit(False))
+    return F.coalesce((type_ == "queue-operation") & (operation == "remove"), F.lit(False)) & told & (reason.isNull() | reason.isin(*TAKEN_UP))
 
 
 def agent_report(text: Column) -> Column:

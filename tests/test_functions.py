@@ -52,14 +52,38 @@ def test_chunks_come_together_again(spark, n):
 
 def test_descriptions_snippets_and_scrubs(spark):
     assert one(spark, "# T\n\nline one\nline two\n\nlater", T.synth_description) == "T — line one line two"
-    assert one(spark, "", T.synth_description) == "(no description)"
+    assert one(spark, "", T.synth_description) == "(no description)" == one(spark, " \n\n", T.synth_description)
+    assert one(spark, "intro\n# T\nmore", T.synth_description) == "intro" and one(spark, "\n \n## A  b ##\n# C\n\nx\n" + "y\n" * 9, T.synth_description) == "A b ## — x y y y y y"
+    assert one(spark, "# T", T.synth_description) == "T" and one(spark, "a" * 500, T.synth_description) == "a" * 400
     assert one(spark, "aa  bb\ncc dd", lambda c: T.trim_snippet(c, 7)) == "aa bb…"
     assert one(spark, "me@gmail.com you@corp.example.com", T.scrub_emails) == "[email] [email@corp.example.com]"
+    assert one(spark, "A@GMAIL.COM, b@Corp.Example.COM; c@me.com d@yahoo.co.uk e@x.acme.org f@acme.org g@notacme.org", lambda c: T.scrub_emails(c, ("acme.org",), ("g@NOTACME.org",))) == "[email], [email@corp.example.com]; [email] [email@yahoo.co.uk] e@x.acme.org f@acme.org g@notacme.org"
     assert one(spark, "password = hunter22 AKIA" + "A" * 16, T.secret_hits) == ["aws-key", "assignment"]
     assert one(spark, "x AKIA" + "A" * 16, T.redact) == "x [REDACTED:aws-key]"
     assert one(spark, "abc1234 12345678 abc1234 deadbeef99", T.extract_shas) == ["abc1234", "deadbeef99"]
     assert one(spark, "MAX_SIZE --dry-run lib/a.py", T.extract_identifiers) == ["MAX_SIZE", "--dry-run", "lib/a.py"]
+    assert one(spark, "a.py --ab x/y.toolong A_B MAX", T.extract_identifiers) == [] and one(spark, "x---y abcdef1---1234abc 7654321", T.extract_shas) == ["1234abc"]
     assert one(spark, "<h2 class=x>T</h2><script>x</script><p>a&amp;b</p>", T.html_to_markdownish) == "## T\n\na&b"
+
+
+HTML = ["<h1>A <b>b</b>\n c</h1>x<h3>D</h3>y", "<head><title>t</title></head><p>one<p>two</p>three<br>four<hr/>five", "<ul><li>a</li><li>b</li></ul><blockquote>q</blockquote>z", "&amp;nbsp; &lt;b&gt; &quot;q&#39;&#039; &NBSP;x", "<script>a<b</script>s<STYLE>x</style>t", "<h2>no end", "<H2 class='a'>Up</H2>\n\n\n\nend \t\n", "", "plain"]
+
+
+@pytest.mark.parametrize("html", HTML)
+def test_html_is_that_of_a_plain_function(spark, html):
+    import re
+
+    t = re.sub(r"(?is)<(script|style|head).*?</\1>", " ", html)
+    t = re.sub(r"(?is)<h([1-6])[^>]*>(.*?)</h\1>", lambda m: "\n\n" + "#" * int(m[1]) + " " + " ".join(re.sub("<[^>]+>", " ", m[2]).split()) + "\n\n", t)
+    t = re.sub(r"(?i)</(p|div|li|tr|table|ul|ol|blockquote|section|article)>", "\n\n", t)
+    t = re.sub(r"<[^>]+>", " ", re.sub(r"(?i)<(br|hr)\s*/?>", "\n", t))
+    for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;", "'")):
+        t = re.sub(f"(?i){a}", b, t)
+    want = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", t)).strip()
+    assert one(spark, html, T.html_to_markdownish) == want
+
+
+def test_counts_do_not_overlap(spark):
     assert one(spark, "aaaa", lambda c: T.count_hits(F.col(c), F.lit("aa"))) == 2
 
 

@@ -105,7 +105,7 @@ def test_threads_in_order_of_time_when_names_are_mixed(spark):
 
 def test_probes(spark):
     p = spark.createDataFrame(
-        [("a", "file_exists f", None, None), ("b", "file_exists g", "true", None), ("c", "grep_count one :: f", ">=2", None), ("d", "date_past 2020-01-01", None, None), ("e", "port_listening 80", None, None), ("f", "grep_count one :: f", "7", None), ("g", "", None, None), ("h", "date_past 2020-01-01", None, dt.datetime(2021, 1, 1))],
+        [("a", "file_exists f", None, None), ("b", "file_exists g", "true", None), ("c", "grep_count f :: one", ">=2", None), ("d", "date_past 2020-01-01", None, None), ("e", "port_listening 80", None, None), ("f", "grep_count f :: one", "7", None), ("g", "", None, None), ("h", "date_past 2020-01-01", None, dt.datetime(2021, 1, 1))],
         "name string, probe string, expected string, valid_until timestamp",
     )
     f = spark.createDataFrame([("f", "one\ntwo one\nx")], "path string, text string")
@@ -129,7 +129,7 @@ def test_curation_due_and_claims(spark):
         upkeep.claim_share(F.array(*map(F.lit, ("aa", "bb", "cc", "dd"))), F.lit("AA bb")).alias("d"), upkeep.claim_share(F.array(F.lit("aa")), F.lit("aa")).alias("e"),
         recall.route(F.lit("what did we decide last week")).alias("f"), recall.looks_technical(F.lit("run lib/x.py")).alias("g"), recall.looks_technical(F.lit("who signs off")).alias("h"),
     ).first()
-    assert tuple(row) == (True, False, True, 0.5, None, "staging", True, False)
+    assert tuple(row) == (True, False, True, 0.5, None, "all", True, False)
 
 
 def test_empty_tables(spark):
@@ -143,7 +143,10 @@ def test_claims(spark):
     one = lambda v, f: spark.createDataFrame([(v,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
     assert one("**Asked:** what is wrong?\n\nI was wrong about the pump.", claims.corrects)
     assert not one("**Asked:** I was wrong, right?\n\nNo.", claims.corrects)
-    assert not one("I misread it; the memory says 5.", claims.corrects) and not one("Scratch that. Let me check first.", claims.corrects)
+    assert not one("I misread it; the memory says 5.", claims.corrects) and not one("Scratch that, let me check first.", claims.corrects)
+    assert one("Scratch that. Let me check first.", claims.corrects) and not one("Nothing here.", claims.corrects) and not one("The memory does record it: I was wrong.", claims.corrects)
+    long = "Before. So my earlier claim on it was wrong and " + "x" * 500
+    assert one(long, lambda c: claims.correction_sentence(c)) == (" So my earlier claim on it was wrong" + " and " + "x" * 500)[:262]
     assert one("**Asked:** x", claims.assistant_half) == "" and one("plain", claims.assistant_half) == "plain"
     assert one("a-b-c-d-e", claims.project_label) == "c-d-e"
     w = spark.createDataFrame([("s", "/r/notes/long-file-name.md"), ("s", "/tmp/x"), ("s", "/r/a.py")], "session_id string, path string")
@@ -152,11 +155,13 @@ def test_claims(spark):
 
 
 def test_probe_drafts(spark):
-    body = "Tagged v1.2 at abc1234\nhttp://localhost:80/x\n```\n/a/b/no.md\n```\nsee /a/b/c.md and\nOrigin: http://localhost:9\nalso /d/e/f.py"
+    body = "Tagged macwin-v12 at abc1234 run 1234567\nhttp://localhost:80/x, and http://example.com/ and http://192.168.1.9:8080.\n```\n`/a/b/no.md`\n```\n> `/quoted/a/b.md`\nsee `/a/b/c.md` and\nOrigin: http://localhost:9\nalso `/d/e/f.py` `/tmp/x/y.py` `/share/a/b.md` `/one.html`"
     d = spark.createDataFrame([("c", "n", body, None), ("c", "m", body, "x")], "corpus string, name string, body string, probe string")
-    assert [(r.place, r.probe) for r in claims.probe_proposals(d).orderBy("place").collect()] == [(1, "git_tag_exists v1.2"), (2, "http_status http://localhost:80/x"), (3, "file_exists /a/b/c.md")]
-    row = spark.range(1).select(claims.vacuous(F.lit("grep_count NAME :: f"), F.lit(">= 1")).alias("a"), claims.vacuous(F.lit("grep_count 'x: 1' :: f"), F.lit(">=1")).alias("b")).first()
-    assert tuple(row) == (True, False)
+    got = [(r.place, r.probe, r.expected) for r in claims.probe_proposals(d, "/repo", 9).orderBy("place").collect()]
+    assert got == [(1, "git_rev_parse /repo :: macwin-v12^{}", "~abc1234"), (2, "http_status http://localhost:80/x", "200"), (3, "http_status http://192.168.1.9:8080", "200"), (4, "file_exists /a/b/c.md", "true"), (5, "file_exists /d/e/f.py", "true")]
+    assert [r.place for r in claims.probe_proposals(d).collect()] == [1, 2, 3] and "git_rev_parse" not in str(claims.probe_proposals(d).collect())
+    row = spark.range(1).select(claims.vacuous(F.lit("grep_count f :: NAME"), F.lit(">= 1")).alias("a"), claims.vacuous(F.lit("grep_count f :: 'x: 1'"), F.lit(">=1")).alias("b"), claims.vacuous(F.lit("grep_count f :: NAME"), F.lit("2")).alias("c")).first()
+    assert tuple(row) == (True, False, False)
 
 
 def test_queues_plans_and_warnings(spark):

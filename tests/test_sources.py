@@ -50,11 +50,28 @@ def test_reading_folders_pages_and_chapters(spark, tmp_path):
     got = {r.file: (r.title, r.skipped) for r in markdown.read_texts(spark, d).collect()}
     assert got == {"one.txt": ("Title", None), "x/two.html": ("T", None), "x/three.pdf": ("three", "no reader for .pdf")}
     t = spark.createDataFrame([("b", "\f".join(f"HEAD\ntext {i}\n{i}" for i in range(4)))], "name string, text string")
-    assert markdown.pages_to_headings(t).first().text.startswith("## p.1\ntext 0\n0\n\n## p.2")
+    assert markdown.pages_to_headings(t).first().text.startswith("## p.1\n\ntext 0\n0\n\n## p.2")
+    long = "h" * 81
+    pages = ["  top  \nsub\nbody\nfoot\n1", "top\nsub\n  kept\nfoot\n2", f"{long}\ntop\nx\nfoot\n3", "\n \n", f"{long}\ntop\nsub\ny\nfoot\n4", f"{long}\nz"]
+    t = spark.createDataFrame([("p", "\f".join(pages)), ("one", " a\nb "), ("few", "top\na\ftop\nb\ftop\nc")], "name string, text string")
+    got = {r.name: r.text for r in markdown.pages_to_headings(t).collect()}
+    assert got == {"one": " a\nb ", "few": "## p.1\n\ntop\na\n\n## p.2\n\ntop\nb\n\n## p.3\n\ntop\nc", "p": f"## p.1\n\nsub\nbody\n1\n\n## p.2\n\nsub\n  kept\n2\n\n## p.3\n\n{long}\nx\n3\n\n## p.5\n\n{long}\nsub\ny\n4\n\n## p.6\n\n{long}\nz"}, got
     t = spark.createDataFrame([("b", "Chapter 1 a\nChapter 2 b\nChapter 3 c\nx\nChapter 1 a\ny\nChapter 2 b\nChapter 3 c"), ("c", "Chapter 1\nx")], "name string, text string")
     got = {r.name: r.text for r in markdown.chapters_to_headings(t).collect()}
     assert got["b"] == "Chapter 1 a\nChapter 2 b\nChapter 3 c\nx\n## Chapter 1 a\ny\n## Chapter 2 b\n## Chapter 3 c" and got["c"] == "Chapter 1\nx"
+    t = spark.createDataFrame([("b", "BOOK One.\nPART II\n    Canto IV\nCanto IV: the fall\nchapter 9\nChapter Two x"), ("h", "# Head\nPart 1\nPart 2\nPart 3")], "name string, text string")
+    got = {r.name: r.text for r in markdown.chapters_to_headings(t).collect()}
+    assert got == {"b": "## BOOK One.\n## PART II\n    Canto IV\n## Canto IV: the fall\nchapter 9\n## Chapter Two x", "h": "# Head\nPart 1\nPart 2\nPart 3"}, got
+
 
+def test_turns_that_no_person_typed(spark):
+    texts = ["", "hello", "see <system-reminder>x</system-reminder> here and many more words to make it long enough for all", "a long enough text that holds a <task-notification> somewhere in it, with words", " <cross-session-message from=x>hi there, and many words more than tags</cross-session-message>", "[SYSTEM NOTIFICATION - x", "Caveat: The messages below", "Caveat: other", "<bash-input>ls -la and a lot of words so that tags are few of all</bash-input>", "<b>x</b>", "many words and one <b>tag</b> in a long line of text that a person typed by hand", "[Request interrupted by user]"]
+    want = [True, False, True, True, True, True, True, False, True, True, False, False]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(transcripts.is_machine_turn(F.col("t")).alias("m")).collect()
+    assert [r.m for r in got] == want
+    rows = [("queue-operation", "remove", None, "x", True), ("queue-operation", "remove", "absorbed_mid_turn", "x", True), ("queue-operation", "remove", "delivered_to_agent", "x", True), ("queue-operation", "remove", "cancelled", "x", False), ("queue-operation", "enqueue", None, "x", False), ("queue-operation", "remove", None, " ", False), ("user", "remove", None, "x", False), (None, None, None, None, False)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", transcripts.is_interjection(*map(F.col, "abcd")).alias("got")).collect())
 
 def test_orphan_handoffs(spark):
     p = spark.createDataFrame([("/r/p/HANDOFF.md",), ("/r/HANDOFF.md",), ("/r/p/q/HANDOFF.md",), ("/r/dist/handoff.md",), ("/r/p/notes.md",)], "path string")
