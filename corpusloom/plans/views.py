@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import constants as K
-from corpusloom.functions.text import first_words
+from corpusloom.functions.text import first_words, space_words
 
 AS_OF = "2024-07-01 00:00:00"
 EPOCH = "2024-06-01 00:00:00"
@@ -43,11 +43,17 @@ docs AS (SELECT 'curated' AS corpus, d.doc_id, 'doc-' || d.doc_id AS name, array
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(QUERIES), "query_id int, query string")
+#: Of the documents, one in SAMPLED gives a query: six words of its text, with the vector of its own id.
+SAMPLED = 50
 
 
-SQL_QUERIES = "asked(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUERIES) + ")"
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query: QUERIES, and one of each SAMPLED documents; as a small table of its own, since it is read many times."""
+    own = table(spark, sf_dir, "documents").where(F.col("doc_id") % SAMPLED == 7).select(F.col("doc_id").cast("int").alias("query_id"), F.array_join(F.slice(space_words("text"), 5, 6), " ").alias("query"))
+    return spark.createDataFrame(list(QUERIES), "query_id int, query string").union(own)
+
+
+SQL_QUERIES = "asked(query_id, query) AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUERIES) + f") UNION ALL SELECT doc_id::INTEGER, array_to_string(({SQL_WORDS.format('text')})[5:10], ' ') FROM documents WHERE doc_id % {SAMPLED} = 7)"
 
 
 def sql_stem(t: str) -> str:
