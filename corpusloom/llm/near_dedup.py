@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,12 @@ VALUES, TREES, STRIDE, KEY, DEPTH = 128, 24, 5, 8, 4
 SMALL = 64
 
 #: Pairs of one row that a copy of its text serves in confirmation.
-HEAD_PAIRS = 2000
+HEAD_PAIRS = 1000
+#: Such rows up to this number are broadcast as ids (about 2 MB); more meet their pairs by a shuffle.
+MOST_HEADS = 100_000
 
 #: Cells of the counts by which shingles are ranked, rarest first. Any ranking is right; a better one gives fewer pairs.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 #: Cells of a set's parities.
 ODD = 1024
@@ -215,11 +218,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column("lo"), b.column("hi")], names=["lo", "hi"]).filter(pa.array(keep, pa.bool_()))
 
     # A row that is held against many others is copied, once for each HEAD_PAIRS of them, so that no task gets all its pairs.
-    heavy = pairs.groupBy("lo").agg(F.count("*").alias("n")).where(F.col("n") > HEAD_PAIRS).select("lo", F.ceil(F.col("n") / HEAD_PAIRS).cast("int").alias("copies"))
-    salted = pairs.join(heavy, "lo", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("hi"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
-    left = texts.select(F.col("id").alias("lo"), F.col("text").alias("x")).join(heavy, "lo", "left")
-    left = left.select("lo", "x", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)).alias("salt"))
-    rows = salted.join(texts.select(F.col("id").alias("hi"), F.col("text").alias("y")), "hi").join(left, ["lo", "salt"])
+    right, left = texts.select(F.col("id").alias("hi"), F.col("text").alias("y")), texts.select(F.col("id").alias("lo"), F.col("text").alias("x"))
+    heavy = cut(pairs.groupBy("lo").agg(F.count("*").alias("n")).where(F.col("n") > HEAD_PAIRS).select("lo", F.ceil(F.col("n") / HEAD_PAIRS).cast("int").alias("copies")))
+    n = heavy.count()
+    if n == 0:
+        rows = pairs.join(right, "hi").join(left, "lo")
+    else:
+        heavy = F.broadcast(heavy) if n <= MOST_HEADS else heavy
+        salted = pairs.join(heavy, "lo", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("hi"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+        left = left.join(heavy, "lo", "left").select("lo", "x", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)).alias("salt"))
+        rows = salted.join(right, "hi").join(left, ["lo", "salt"])
     return rows.select("lo", "hi", "x", "y").mapInArrow(go, "lo long, hi long")
 
 
@@ -271,20 +279,29 @@ def _cells(found: np.ndarray) -> np.ndarray:
 
 
 def _ranks(rows: DataFrame, size: int) -> np.ndarray:
-    """How many sets of rows (text) have a shingle of each cell: CELLS counts, whatever the number of rows."""
+    """How many sets of rows (text) have a shingle of each cell: CELLS counts, whatever the number of rows. Each task sums up its own
+    rows, and the sums meet in a tree."""
 
     def go(batches):
         counts = np.zeros(CELLS, dtype=np.int64)
         for b in batches:
             for text in b.column("text").to_pylist():
                 np.add.at(counts, _cells(shingles(text, size)), 1)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([_packed_counts(counts)], pa.binary())], names=["counts"])
 
-    found = rows.select("text").mapInArrow(go, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, dtype=np.int32)
-    counts[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
-    return counts
+    def merge(a: bytes, b: bytes) -> bytes:
+        return _packed_counts(_unpacked_counts(a) + _unpacked_counts(b))
+
+    parts = rows.select("text").mapInArrow(go, "counts binary").rdd.map(lambda r: bytes(r[0]))
+    return _unpacked_counts(parts.treeReduce(merge, 3)).astype(np.int32) if parts.getNumPartitions() else np.zeros(CELLS, dtype=np.int32)
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32).tobytes(), 1)
+
+
+def _unpacked_counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), dtype=np.int32).astype(np.int64)
 
 
 def set_apart(found: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
