@@ -253,6 +253,11 @@ def probe_verdicts(probes: DataFrame, files: DataFrame, as_of: Column) -> DataFr
     return rows.select("name", "actual", verdict.alias("verdict"))
 
 
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    """verdict, n: how many probes of a sweep came to each."""
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 def attach_verdicts(page: DataFrame, verdicts: DataFrame) -> DataFrame:
     """page with verdict, by name, else by the parent of a section's name; the page's order stays."""
     v = verdicts.select("name", "verdict")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import search, store  # noqa: F401
+from corpusloom.plans import answers, intake, search, store  # noqa: F401
 from corpusloom.plans.registry import QUERIES, SQL
 
 

@@ -50,10 +50,12 @@ MD = "concat('# Title ', doc_id, '\n\nIntro of ', name, '\n\n## Part v', doc_id
 
 
 def _md(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).withColumn("body", F.expr(MD.replace("(doc_id % 2)::int", "cast(doc_id % 2 as int)").replace("\n", "\\n"))).withColumn("type", F.lit("memory"))
+    """Documents with a few headings, fences and links before their whole texts."""
+    made = F.expr(MD.replace("(doc_id % 2)::int", "cast(doc_id % 2 as int)").replace("\n", "\\n"))
+    return documents(spark, sf).withColumn("body", F.concat(made, F.lit("\n"), F.coalesce("body", F.lit("")))).withColumn("type", F.lit("memory"))
 
 
-SQL_MD = f"WITH {SQL_DOCS}, md AS (SELECT corpus, doc_id, name, tier, " + MD.replace("'\n\nIntro of '", "chr(10) || chr(10) || 'Intro of '").replace("\n", "' || chr(10) || '") + " AS body FROM docs)"
+SQL_MD = f"WITH {SQL_DOCS}, md AS (SELECT corpus, doc_id, name, tier, " + MD.replace("'\n\nIntro of '", "chr(10) || chr(10) || 'Intro of '").replace("\n", "' || chr(10) || '") + " || chr(10) || coalesce(body, '') AS body FROM docs)"
 
 
 @query("headings", SQL_MD + r" SELECT doc_id, array_to_string(list_transform(regexp_extract_all(body, '(?m)^#{1,6}[ \t]+(.*)$', 1), lambda x: trim(x)), '|') AS headings FROM md")
