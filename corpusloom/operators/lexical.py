@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,8 @@ from corpusloom.operators.sizes import small
 
 
 
+#: Buckets of a stored model's terms.
+BUCKETS = 64
 #: Asked terms up to which a model is built for these terms alone.
 ASKED = 1000
 
@@ -37,10 +39,32 @@ class Model:
     postings: DataFrame
     df: DataFrame
     stats: DataFrame
-    counted: DataFrame
+    counted: DataFrame | None = None
 
     def release(self) -> None:
-        self.counted.unpersist()
+        if self.counted is not None:
+            self.counted.unpersist()
+
+
+def save_model(model: Model, path: str) -> None:
+    """Writes a model's tables under path. Postings lie by hash of their term, so that a search reads the buckets of its terms alone; they are
+    dealt out by ranges of (bucket, term, name), so that a frequent term is spread over tasks."""
+    bucketed = model.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    bucketed.repartitionByRange("bucket", "term", "name").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    model.df.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/df")
+    model.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    model.release()
+
+
+def load_model(spark: SparkSession, path: str, queries: DataFrame | None = None) -> Model:
+    """A stored model. With queries of few terms only their buckets and terms are read: both are filters that reach the scan."""
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("postings", "df", "stats")}
+    if queries is not None:
+        asked = query_terms(queries).select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct().limit(ASKED + 1).collect()
+        if len(asked) <= ASKED:
+            for t in ("postings", "df"):
+                tables[t] = tables[t].where(F.col("bucket").isin(*{r["bucket"] for r in asked}) & F.col("term").isin(*{r["term"] for r in asked})) if asked else tables[t].limit(0)
+    return Model(tables["postings"].drop("bucket"), tables["df"].drop("bucket"), tables["stats"])
 
 
 def _fields(docs: DataFrame) -> list[tuple[int, float, Column]]:

@@ -69,17 +69,18 @@ def fuse(found: DataFrame, docs: DataFrame, reference: DataFrame, as_of: Column,
     found: candidates(). docs: filtered documents: corpus, name, body, tier, in_memory_index, modified, n_chunks. matched: query_id, corpus,
     present; without it there is no phrase leg. Ties: higher base first, then by name.
     """
-    rows = found.join(docs, ["corpus", "name"]).join(small(reference), "corpus")
+    bodies = docs.select("corpus", "name", "body") if matched is not None else None
+    rows = found.join(docs.drop("body"), ["corpus", "name"]).join(small(reference), "corpus")
     ldf = S.long_doc_factor(F.col("n_chunks"), F.col("reference"), F.col("keyword"))
     rows = rows.withColumn("semantic", F.col("semantic") * ldf).withColumn("base1", K.FUSE_KEYWORD * F.col("keyword") + K.FUSE_SEMANTIC * F.col("semantic")).where("base1 > 0")
     first = Window.partitionBy("query_id", "corpus").orderBy(F.desc("base1"), "name")
     rows = rows.withColumn("base_rank", F.row_number().over(first))
     if matched is None:
-        rows = rows.withColumn("phrase", F.lit(0.0)).drop("body")
+        rows = rows.withColumn("phrase", F.lit(0.0))
     else:
-        top = rows.where(F.col("base_rank") <= rerank).select("query_id", "corpus", "name", "body").join(matched.select("query_id", "corpus", F.col("present").alias("terms")), ["query_id", "corpus"])
+        top = rows.where(F.col("base_rank") <= rerank).select("query_id", "corpus", "name").join(bodies, ["corpus", "name"]).join(matched.select("query_id", "corpus", F.col("present").alias("terms")), ["query_id", "corpus"])
         phrases = phrase_scores(top.select("query_id", "corpus", "name", "body", "terms")).select("query_id", "corpus", "name", "phrase")
-        rows = rows.drop("body").join(phrases, ["query_id", "corpus", "name"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(0.0)))
+        rows = rows.join(phrases, ["query_id", "corpus", "name"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(0.0)))
     envelope = S.tier_boost(F.col("tier"), F.col("in_memory_index")) * S.recency_factor(F.col("modified"), as_of) * (S.near_factor(F.col("modified"), anchor) if anchor is not None else F.lit(1.0))
     base = F.col("base1") + K.FUSE_PHRASE * S.phrase_contribution(F.col("phrase"))
     rows = rows.withColumn("score", F.round(base * envelope, 4)).withColumn("provenance", S.provenance(F.col("keyword"), F.col("semantic"), F.col("phrase")))

@@ -11,6 +11,7 @@ from corpusloom.operators import lexical, ranking, recall, structure
 from corpusloom.operators.sizes import small
 from corpusloom.plans.registry import query
 from corpusloom.plans.views import AS_OF, QUERIES, SQL_BM25, SQL_DOCS, SQL_QUERIES, SQL_WORDS, asked, documents, sql_tokens, table
+from corpusloom.sources.files import scratch
 
 DAYS = "(epoch_us({a}) - epoch_us({b})) / 86400000000.0"
 
@@ -78,10 +79,31 @@ def nearest(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.nearest(v, v).select("name", "neighbour", "similarity", "rank")
 
 
+def store(spark: SparkSession, sf: str, path: str) -> None:
+    """Builds what searches read: a model's tables, documents with their numbers of chunks, the reference of these, and vectors."""
+    docs = documents(spark, sf).withColumn("n_chunks", F.size(structure.chunks("body")))
+    lexical.save_model(lexical.build_model(docs), path)
+    docs.write.mode("overwrite").parquet(f"{path}/documents")
+    ranking.reference_chunks(spark.read.parquet(f"{path}/documents")).write.mode("overwrite").parquet(f"{path}/reference")
+    _vectors(spark, sf).write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def search_store(spark: SparkSession, path: str, queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, keyword scores, term statistics) of queries (query_id, query) with vectors (query_id, vec) on a stored index. Bodies are read
+    of the rows that are ranked again alone."""
+    model = lexical.load_model(spark, path, queries)
+    scores, stats = lexical.keyword_scores(model, queries), lexical.term_statistics(model, queries)
+    found = ranking.candidates(lexical.absolute_scores(scores, stats), ranking.semantic_scores(spark.read.parquet(f"{path}/vectors"), vectors))
+    docs = spark.read.parquet(f"{path}/documents").select("corpus", "name", "file", "body", "tier", "in_memory_index", "modified", "n_chunks")
+    rows = ranking.fuse(found, docs, spark.read.parquet(f"{path}/reference"), F.lit(AS_OF).cast("timestamp"), matched=stats.select("query_id", "corpus", "present"))
+    return rows, scores, stats
+
+
 def _fused(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = documents(spark, sf).withColumn("n_chunks", F.size(structure.chunks("body")))
-    model = lexical.build_model(docs, asked(spark, sf))
-    scores, stats = lexical.keyword_scores(model, asked(spark, sf)), lexical.term_statistics(model, asked(spark, sf))
+    queries = asked(spark, sf)
+    model = lexical.build_model(docs, queries)
+    scores, stats = lexical.keyword_scores(model, queries), lexical.term_statistics(model, queries)
     found = ranking.candidates(lexical.absolute_scores(scores, stats), ranking.semantic_scores(_vectors(spark, sf), _query_vectors(spark, sf)))
     rows = ranking.fuse(found, docs.select("corpus", "name", "file", "body", "tier", "in_memory_index", "modified", "n_chunks"), ranking.reference_chunks(docs), F.lit(AS_OF).cast("timestamp"), matched=stats.select("query_id", "corpus", "present"))
     return rows, scores, stats
@@ -115,6 +137,14 @@ def fused_search(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf)[0].where("rank <= 30").select("query_id", "name", "score", "provenance", "rank")
 
 
+@query("stored_search", SQL_FUSED + "SELECT query_id, name, score, provenance, rank FROM ranked WHERE rank <= 30")
+def stored_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search on an index that was written and is read again."""
+    path = scratch(spark, "store")
+    store(spark, sf, path)
+    return search_store(spark, path, asked(spark, sf), _query_vectors(spark, sf))[0].where("rank <= 30").select("query_id", "name", "score", "provenance", "rank")
+
+
 @query("archive_capped_page", SQL_FUSED + f""", h AS (SELECT *, tier = 'archive' AND sum((tier = 'archive')::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) > {int(K.LIMIT * K.ARCHIVE_SHARE)} AS held FROM ranked)
 SELECT query_id, name, rank, row_number() OVER (PARTITION BY query_id ORDER BY held, rank)::INTEGER AS place FROM h QUALIFY place <= {K.LIMIT}""")
 def archive_capped_page(spark: SparkSession, sf: str) -> DataFrame:
