@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as K
 from corpusloom.functions import scoring as S
 from corpusloom.functions import text as T
-from corpusloom.operators import claims, recall, structure, upkeep
+from corpusloom.operators import claims, recall, scopes, structure, upkeep
 from corpusloom.plans.registry import query
 from corpusloom.plans.store import SQL_LINES, SQL_SECTIONS, _md
 from corpusloom.plans.views import EPOCH, SQL_DOCS, SQL_NOTED, documents, noted, sql_text, table
@@ -303,3 +303,75 @@ def curation_queue(spark: SparkSession, sf: str) -> DataFrame:
     """One queue of all kinds in a fixed order."""
     d = documents(spark, sf).withColumn("detail", F.lit("d"))
     return claims.curation_queue(*(d.where(f"doc_id % {m} = {i + 1}").select("name", "detail") for i, m in enumerate((90, 80, 70, 60, 50)))).select("kind", "name")
+
+
+SCOPES = ("all", "everything", "books", "projects|curated", "manuals|all", "staging|books|staging")
+EXPANDED = ("curated|staging|handoff|projects", "curated|staging|handoff|projects|books|manuals", "books", "curated|projects", "curated|staging|handoff|projects|manuals", "staging|books")
+
+
+@query("expanded_scopes", f"SELECT p_partkey, {_sql_picked(EXPANDED, 'p_partkey')} AS corpora FROM part")
+def expanded_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpora that scopes name, in order; the SQL holds the answer for each form."""
+    return table(spark, sf, "part").select("p_partkey", F.array_join(scopes.expand_scope(F.split(_picked(SCOPES, "p_partkey"), r"\|"), ("books", "manuals")), "|").alias("corpora"))
+
+
+ARGUMENTS = ("v1.2^{}", "main..dev", "--since=2024-01-01", "HEAD{1}", "a;b", "tag^{commit}", "x`y`", "../a/b", "with space", "$(x)")
+REFS = (True, True, True, False, False, True, False, True, False, False)
+METAS = (True, False, False, True, True, True, True, False, False, True)
+
+
+@query("probe_guards", f"SELECT p_partkey, ([{', '.join(map(str, REFS))}])[p_partkey % {len(REFS)} + 1] AS is_ref, ([{', '.join(map(str, METAS))}])[p_partkey % {len(METAS)} + 1] AS refused FROM part")
+def probe_guards(spark: SparkSession, sf: str) -> DataFrame:
+    """Arguments of probes that are refused, and forms of git references; the SQL holds the answers."""
+    arg = _picked(ARGUMENTS, "p_partkey")
+    return table(spark, sf, "part").select("p_partkey", scopes.allowed_git_ref(arg).alias("is_ref"), scopes.refused_argument(arg).alias("refused"))
+
+
+@query("last_ingest", "SELECT date_trunc('milliseconds', max(ts)) AS at FROM events WHERE event_id % 3 = 0")
+def last_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest stamp; those that aren't numbers count for nothing."""
+    e = table(spark, sf, "events").select(F.when(F.col("event_id") % 3 == 0, F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).when(F.col("event_id") % 3 == 1, "soon").alias("at"))
+    return scopes.last_ingest(e)
+
+
+@query("source_stats", "SELECT event_type AS corpus, count(*) AS files, max(ts) AS newest FROM events GROUP BY event_type")
+def source_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of each corpus, and the newest."""
+    return scopes.source_stats(table(spark, sf, "events").select(F.col("event_type").alias("corpus"), F.col("ts").alias("mtime")))
+
+
+@query("latest_scopes", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'handoff' WHEN p_size % 5 = 0 THEN 'curated' ELSE 'staging' END AS scope, p_partkey % 4 <> 0 AND p_size % 5 = 0 AS fallback FROM part")
+def latest_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a question about the latest looks."""
+    s = scopes.latest_scope(F.when(F.col("p_partkey") % 4 == 0, "handoff"), F.col("p_size") % 5)
+    return table(spark, sf, "part").select("p_partkey", s["scope"].alias("scope"), s["fallback"].alias("fallback"))
+
+
+@query("log_provenance", "SELECT event_id, 'live' AS source, 'run-1' AS run_id FROM events")
+def log_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """Who wrote each row of a log."""
+    return scopes.with_provenance(table(spark, sf, "events").select("event_id"), "run-1", serving=True)
+
+
+@query("statistics_texts", f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'Summarise ' || p_name END AS query FROM part")
+def statistics_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What term statistics see of a question that asks to read."""
+    q = F.concat(F.lit("Summarise "), "p_name")
+    return table(spark, sf, "part").select("p_partkey", scopes.for_statistics(q, F.col("p_partkey") % 2 == 0).alias("query"))
+
+
+@query("weak_rows", "WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders) SELECT query_id, name, rank FROM r WHERE rank <= 3 AND query_id % 2 = 0")
+def weak_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest rows of refused questions."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("name"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
+    return scopes.best_weak(o, o.where("query_id % 2 = 0").select("query_id").distinct())
+
+
+@query("coded_vectors", "SELECT vec_id, 4 * ceil(4 * len(embedding) / 3.0)::INTEGER AS n_chars, embedding::FLOAT[] AS vec FROM embeddings")
+def coded_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as text and back."""
+    e = table(spark, sf, "embeddings").select("vec_id", scopes.encode_vector("embedding").alias("code"))
+    n = len(table(spark, sf, "embeddings").select("embedding").first()[0])
+    return e.select("vec_id", F.length("code").alias("n_chars"), scopes.decode_vector(F.col("code"), n).alias("vec"))
