@@ -26,7 +26,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Writes df beside path and puts it in its place by renaming, so that readers see the old table or the new one, never a part."""
+    """Writes df beside path and puts it in its place by renaming. Readers never see a part of a table; between the two renames there is none
+    at path for a moment, and one that failed is put back."""
     spark = df.sparkSession
     fs, target, make = _fs(spark, path)
     mark = uuid.uuid4().hex[:12]
@@ -64,7 +65,7 @@ def write_index(docs: DataFrame, chunks: DataFrame, path: str, roots: int, dimen
         gone = spark.read.parquet(f"{path}/docs").select("corpus", "name").join(docs, ["corpus", "name"], "left_anti")
         gone = gone.select("corpus", "name", F.lit(built_at).cast("string").alias("at"), F.lit(before["docs"]).alias("docs_before"), F.lit(n).alias("docs_after"))
         if not gone.isEmpty():
-            gone.coalesce(1).write.mode("append").json(f"{path}.vanished")
+            gone.write.mode("append").json(f"{path}.vanished")
     mark = f"{path}.build-{uuid.uuid4().hex[:12]}"
     docs.write.partitionBy("corpus").parquet(f"{mark}/docs")
     chunks.write.partitionBy("corpus").parquet(f"{mark}/chunks")
@@ -109,7 +110,7 @@ def append_log(rows: DataFrame, path: str, roll_bytes: int = 20_000_000) -> None
         older = make(f"{path}.1")
         fs.delete(older, True)
         fs.rename(p, older)
-    rows.coalesce(1).write.mode("append").json(path)
+    rows.write.mode("append").json(path)
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
