@@ -37,7 +37,7 @@ HEAD_PAIRS = 1000
 MOST_HEADS = 100_000
 
 #: Cells of the counts by which shingles are ranked, rarest first. Any ranking is right; a better one gives fewer pairs.
-CELLS = 1 << 18
+CELLS, SUMS = 1 << 18, 16
 
 #: Cells of a set's parities.
 ODD = 1024
@@ -280,7 +280,7 @@ def _cells(found: np.ndarray) -> np.ndarray:
 
 def _ranks(rows: DataFrame, size: int) -> np.ndarray:
     """How many sets of rows (text) have a shingle of each cell: CELLS counts, whatever the number of rows. Each task sums up its own
-    rows, and the sums meet in a tree."""
+    rows, SUMS tasks sum up these, and the driver those: 1 MB each at most."""
 
     def go(batches):
         counts = np.zeros(CELLS, dtype=np.int64)
@@ -289,11 +289,18 @@ def _ranks(rows: DataFrame, size: int) -> np.ndarray:
                 np.add.at(counts, _cells(shingles(text, size)), 1)
         yield pa.RecordBatch.from_arrays([pa.array([_packed_counts(counts)], pa.binary())], names=["counts"])
 
-    def merge(a: bytes, b: bytes) -> bytes:
-        return _packed_counts(_unpacked_counts(a) + _unpacked_counts(b))
+    def merged(batches):
+        counts = np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            for packed in b.column("counts"):
+                counts += _unpacked_counts(packed.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([_packed_counts(counts)], pa.binary())], names=["counts"])
 
-    parts = rows.select("text").mapInArrow(go, "counts binary").rdd.map(lambda r: bytes(r[0]))
-    return _unpacked_counts(parts.treeReduce(merge, 3)).astype(np.int32) if parts.getNumPartitions() else np.zeros(CELLS, dtype=np.int32)
+    parts = rows.select("text").mapInArrow(go, "counts binary").repartition(SUMS).mapInArrow(merged, "counts binary")
+    total = np.zeros(CELLS, dtype=np.int64)
+    for packed in parts.toArrow().column("counts"):
+        total += _unpacked_counts(packed.as_py())
+    return np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _packed_counts(counts: np.ndarray) -> bytes:
