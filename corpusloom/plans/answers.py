@@ -375,3 +375,65 @@ def coded_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", scopes.encode_vector("embedding").alias("code"))
     n = len(table(spark, sf, "embeddings").select("embedding").first()[0])
     return e.select("vec_id", F.length("code").alias("n_chars"), scopes.decode_vector(F.col("code"), n).alias("vec"))
+
+
+@query("brief_view", f"WITH {SQL_DOCS}, r AS (SELECT (doc_id % 20)::INTEGER AS query_id, name, body, description, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id)::INTEGER AS rank FROM docs), t AS (SELECT query_id, rank, name, trim(regexp_replace(coalesce(body, ''), '\\s+', ' ', 'g')) AS t, description FROM r WHERE rank <= {K.BRIEF_ROWS}) SELECT query_id, rank, name, sha256(CASE WHEN length(t) <= {K.BRIEF_SNIPPET} THEN t ELSE regexp_replace(left(t, {K.BRIEF_SNIPPET}), '\\s\\S*$', '') || '…' END) AS snippet, left(description, {K.BRIEF_DESCRIPTION}) AS description FROM t")
+def brief_view(spark: SparkSession, sf: str) -> DataFrame:
+    """A few rows a corpus, with short texts."""
+    from pyspark.sql import Window
+
+    d = documents(spark, sf).withColumn("query_id", (F.col("doc_id") % 20).cast("int"))
+    page = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    return recall.brief(page).select("query_id", "rank", "name", F.sha2("snippet", 256).alias("snippet"), "description")
+
+
+@query("term_warnings", "WITH f AS (SELECT p_partkey AS query_id, p_name AS term, p_size % 9 AS w, p_size AS df FROM part) SELECT query_id, term, CASE WHEN w = 0 THEN 'inside-only' ELSE 'mostly-inside' END AS warning FROM f WHERE w = 0 OR w * 4 < df")
+def term_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms found only or mostly inside longer words."""
+    f = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("term"), (F.col("p_size") % 9).alias("df_whole"), F.col("p_size").alias("df"))
+    return recall.term_warnings(f).select("query_id", "term", "warning")
+
+
+@query("repair_plan", "WITH s AS (SELECT o_orderkey AS file_id, (['same', 'changed', 'added', 'removed'])[o_orderkey % 4 + 1] AS state FROM orders) SELECT file_id, CASE WHEN state = 'removed' THEN 'drop' WHEN (SELECT count(*) FROM s WHERE state IN ('changed', 'added')) <= 8 THEN 'repair' ELSE 'stale' END AS action FROM s WHERE state <> 'same'")
+def repair_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Which files are repaired at once, and which are reported as stale."""
+    from corpusloom.streaming import capture
+
+    s = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id"), F.element_at(F.array(*map(F.lit, ("same", "changed", "added", "removed"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("state"))
+    return capture.repair_plan(s).select("file_id", "action")
+
+
+@query("session_rows", f"WITH {SQL_DOCS} SELECT name FROM docs WHERE account = 'fr'")
+def session_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """rows of one session."""
+    from corpusloom.operators import ranking
+
+    return ranking.allowed(documents(spark, sf).withColumn("session_id", F.col("account")), session="fr").select("name")
+
+
+@query("rewritten_metadata", f"WITH {SQL_DOCS} SELECT name, 'archive' AS tier, sha256(coalesce(body, '')) AS digest FROM docs")
+def rewritten_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """K8, K9: metadata rewritten with every body as it was; a changed body would fail the job."""
+    from corpusloom.sources import sinks
+
+    d = documents(spark, sf).select("corpus", "name", "tier", F.coalesce("body", F.lit("")).alias("body"))
+    return sinks.rewrite_metadata(d, d.withColumn("tier", F.lit("archive"))).select("name", "tier", F.sha2("body", 256).alias("digest"))
+
+
+@query("import_names", "WITH i AS (SELECT p_partkey AS key, p_brand AS name FROM part), t AS (SELECT p_brand AS name, count(*) AS there FROM part WHERE p_partkey % 5 = 0 GROUP BY p_brand), n AS (SELECT key, name, coalesce(there, 0) + row_number() OVER (PARTITION BY name ORDER BY key) AS n FROM i LEFT JOIN t USING (name)) SELECT key, CASE WHEN n > 1 THEN name || '-' || n ELSE name END AS file_name FROM n")
+def import_names(spark: SparkSession, sf: str) -> DataFrame:
+    """K7: names of imported files, numbered after those taken."""
+    from corpusloom.sources import sinks
+
+    p = table(spark, sf, "part")
+    taken = p.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("name"))
+    return sinks.import_names(p.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("name")), taken).select("key", "file_name")
+
+
+@query("stale_file_terms", "WITH t AS (SELECT DISTINCT lower(p_name) AS term FROM part WHERE p_partkey % 20 = 0 AND length(p_name) >= 3), f AS (SELECT 'f' || p_partkey AS file, p_name || ' ' || p_type AS text FROM part WHERE p_partkey % 2 = 0) SELECT term, array_to_string(list_sort(list_distinct(list(file)))[1:4], '|') AS files FROM t JOIN f ON contains(lower(file), term) OR contains(lower(text), term) GROUP BY term")
+def stale_file_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that nothing matched, found in stale files."""
+    p = table(spark, sf, "part")
+    files = p.where("p_partkey % 2 = 0").select(F.concat(F.lit("f"), "p_partkey").alias("file"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    terms = p.where("p_partkey % 20 = 0").select(F.lower("p_name").alias("term"))
+    return claims.probe_file_terms(terms, files).select("term", F.array_join("files", "|").alias("files"))
