@@ -124,13 +124,13 @@ def _cell(token: Column, cells: int) -> Column:
 
 
 def _packed(filed: DataFrame, cells: int) -> DataFrame:
-    """One row: cells, an array whose place c holds the tokens of that hash with their rules."""
+    """One row: cells, an array whose place c holds the tokens of that hash with their rules; and _one, 0, by which every url finds it."""
     rule = F.struct("name", "kind", "verdict", "pattern")
     by_token = filed.groupBy("token").agg(F.collect_list(rule).alias("rules"))
     by_cell = by_token.groupBy(_cell(F.col("token"), cells).alias("c")).agg(F.collect_list(F.struct("token", "rules")).alias("held"))
     every = filed.sparkSession.range(cells).select(F.col("id").cast("int").alias("c")).join(by_cell, "c", "left")
-    ordered = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("c", F.coalesce("held", F.array()).alias("held")))).alias("all"))
-    return ordered.select(F.lit(1).alias("_one"), F.transform("all", lambda x: x["held"]).alias("_cells"))
+    ordered = every.groupBy().agg(F.min(F.col("c") * 0).alias("_one"), F.sort_array(F.collect_list(F.struct("c", F.coalesce("held", F.array()).alias("held")))).alias("all"))
+    return ordered.select("_one", F.transform("all", lambda x: x["held"]).alias("_cells"))
 
 
 def _fetch(cells: int):
@@ -149,7 +149,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = PLACES + WORDS
     filed = cut(index(pages.select("url"), rule_table(pages.sparkSession, rules)))
     n = filed.count()
     turns = max(1, -(-n // BROADCAST_RULES))
-    out = pages.select(*dict.fromkeys((*carry, "url"))).withColumns({"_host": host, "_path": path, "_tokens": _url_tokens(F.col("url")), "_one": F.lit(1)})
+    out = pages.select(*dict.fromkeys((*carry, "url"))).withColumns({"_host": host, "_path": path, "_tokens": _url_tokens(F.col("url")), "_one": F.pmod(F.length(F.coalesce("url", F.lit(""))), F.lit(1)).cast("int")})
     out = out.withColumns({"_best": F.lit(None).cast("struct<size: int, name: string, verdict: string>"), "_said": F.lit(0)})
     for turn in range(turns):
         if turn:
