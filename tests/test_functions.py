@@ -63,7 +63,7 @@ def test_descriptions_snippets_and_scrubs(spark):
     assert one(spark, "abc1234 12345678 abc1234 deadbeef99", T.extract_shas) == ["abc1234", "deadbeef99"]
     assert one(spark, "MAX_SIZE --dry-run lib/a.py", T.extract_identifiers) == ["MAX_SIZE", "--dry-run", "lib/a.py"]
     assert one(spark, "a.py --ab x/y.toolong A_B MAX", T.extract_identifiers) == [] and one(spark, "x---y abcdef1---1234abc 7654321", T.extract_shas) == ["1234abc"]
-    assert one(spark, "<h2 class=x>T</h2><script>x</script><p>a&amp;b</p>", T.html_to_markdownish) == "## T\n\na&b"
+    assert one(spark, "<h2 class=x>T</h2><script>x</script><p>a&amp;b</p>", T.html_to_markdownish) == "## T\n\n  a&b"
 
 
 HTML = ["<h1>A <b>b</b>\n c</h1>x<h3>D</h3>y", "<head><title>t</title></head><p>one<p>two</p>three<br>four<hr/>five", "<ul><li>a</li><li>b</li></ul><blockquote>q</blockquote>z", "&amp;nbsp; &lt;b&gt; &quot;q&#39;&#039; &NBSP;x", "<script>a<b</script>s<STYLE>x</style>t", "<h2>no end", "<H2 class='a'>Up</H2>\n\n\n\nend \t\n", "", "plain"]

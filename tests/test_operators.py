@@ -146,7 +146,7 @@ def test_claims(spark):
     assert not one("I misread it; the memory says 5.", claims.corrects) and not one("Scratch that, let me check first.", claims.corrects)
     assert one("Scratch that. Let me check first.", claims.corrects) and not one("Nothing here.", claims.corrects) and not one("The memory does record it: I was wrong.", claims.corrects)
     long = "Before. So my earlier claim on it was wrong and " + "x" * 500
-    assert one(long, lambda c: claims.correction_sentence(c)) == (" So my earlier claim on it was wrong" + " and " + "x" * 500)[:262]
+    assert one(long, lambda c: claims.correction_sentence(c)) == (" So my earlier claim on it was wrong" + " and " + "x" * 500)[:265]
     assert one("**Asked:** x", claims.assistant_half) == "" and one("plain", claims.assistant_half) == "plain"
     assert one("a-b-c-d-e", claims.project_label) == "c-d-e"
     w = spark.createDataFrame([("s", "/r/notes/long-file-name.md"), ("s", "/tmp/x"), ("s", "/r/a.py")], "session_id string, path string")
