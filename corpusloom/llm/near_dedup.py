@@ -202,8 +202,8 @@ def forest(reps: DataFrame) -> DataFrame:
     return rows.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(_regions, "kind int, a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (lo, hi) whose full shingle sets, from texts (id, text), have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, bounded: bool = False) -> DataFrame:
+    """Those of pairs (lo, hi; bounded: no row is in many) whose full shingle sets, from texts (id, text), have 100 * intersection >= percent * union."""
 
     def go(batches):
         held, left = None, None
@@ -219,8 +219,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     # A row that is held against many others is copied, once for each HEAD_PAIRS of them, so that no task gets all its pairs.
     right, left = texts.select(F.col("id").alias("hi"), F.col("text").alias("y")), texts.select(F.col("id").alias("lo"), F.col("text").alias("x"))
-    heavy = cut(pairs.groupBy("lo").agg(F.count("*").alias("n")).where(F.col("n") > HEAD_PAIRS).select("lo", F.ceil(F.col("n") / HEAD_PAIRS).cast("int").alias("copies")))
-    n = heavy.count()
+    heavy = None if bounded else cut(pairs.groupBy("lo").agg(F.count("*").alias("n")).where(F.col("n") > HEAD_PAIRS).select("lo", F.ceil(F.col("n") / HEAD_PAIRS).cast("int").alias("copies")))
+    n = heavy.count() if heavy is not None else 0
     if n == 0:
         rows = pairs.join(right, "hi").join(left, "lo")
     else:
@@ -365,7 +365,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     wanted = found.where(F.col("kind") == MEMBER).select(F.col("b").alias("id")).union(stars.select("lo")).union(stars.select("hi")).distinct()
     texts = cut(documents.select(F.col("doc_id").alias("id"), "text").join(wanted, "id"))
     same = cut(_same_document(all_rows, reps))
-    links = cut(confirmed(stars, texts, size, percent)).union(same.where("id is not null").select(F.col("low").alias("lo"), F.col("id").alias("hi")).where("lo <> hi"))
+    several = not same.isEmpty()
+    links = cut(confirmed(stars, texts, size, percent))
+    if several:
+        links = links.union(same.where("id is not null").select(F.col("low").alias("lo"), F.col("id").alias("hi")).where("lo <> hi"))
     labels = components(links)
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("part"), F.col("b").alias("id"))
     members = members.join(labels, "id", "left").select("part", "id", F.coalesce("label", "id").alias("label"))
@@ -375,7 +378,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     more = rest.join(other, (rest["part"] == other["part"]) & (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & _alike(percent)).select(F.col("id").alias("lo"), F.col("id2").alias("hi")).distinct()
     more = cut(more.join(stars, ["lo", "hi"], "left_anti"))
     if not more.isEmpty():
-        links = links.union(cut(confirmed(more, texts, size, percent)))
+        links = links.union(cut(confirmed(more, texts, size, percent, bounded=True)))  # at most SMALL - 1 in each tree
         labels = components(links)
     far = set_apart(found, labels, reps, texts, size, percent)
     if far is not None:
@@ -384,10 +387,11 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
             labels = components(links.union(cut(confirmed(far, texts, size, percent))))
     classes = reps.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class"))
     out = all_rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    # A row without words of a document that has other rows goes where those go.
-    others = same.where("id is not null").select("doc_id", F.col("low").alias("id")).distinct().join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("whole"))
-    out = out.join(others, "doc_id", "left")
-    component = F.coalesce("class", "whole", "doc_id")
+    whole = F.lit(None).cast("long")
+    if several:  # a row without words of a document that has other rows goes where those go
+        others = same.where("id is not null").select("doc_id", F.col("low").alias("id")).distinct().join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("whole"))
+        out, whole = out.join(others, "doc_id", "left"), F.col("whole")
+    component = F.coalesce(F.col("class"), whole, F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
