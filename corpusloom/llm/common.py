@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch. A row is a whole document, so that Spark's default of 10,000 would hold tens of MB a worker.
 ARROW_ROWS = 1000
+#: The share of its largest size up to which the driver's heap grows before what earlier jobs left is collected.
+FULL = 0.4
 
 
 def tune(spark: SparkSession) -> None:
@@ -39,9 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df into the shared folder and reads it back, so that a lost executor costs no recomputation of what is above."""
     shared_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what earlier jobs left once its heap has grown to FULL of what it may be: plans, compiled classes, and by
+    Spark's cleaner their shuffles and checkpoints. Left alone, the JVM's memory grows with the number of jobs and tasks."""
+    run = spark.sparkContext._jvm.Runtime.getRuntime()
+    if run.totalMemory() > FULL * run.maxMemory():
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def words(text: str | None) -> list[bytes]:
     """The maximal runs of characters other than [\\x20\\x09-\\x0D], as UTF-8; null has none."""
     return text.encode().split() if text else []

@@ -16,11 +16,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -36,6 +36,12 @@ HEAD_PAIRS = 1000
 #: Such rows up to this number are broadcast as ids (about 2 MB); more meet their pairs by a shuffle.
 MOST_HEADS = 100_000
 
+#: Links up to this number are joined into components by one task, in some 30 bytes each and their sort; more go round by round.
+MOST_LINKS = 4_000_000
+
+#: Keys that the driver samples for the ranges of the forest, some three times as many at most, whatever the number of partitions.
+RANGE_KEYS = 20_000
+
 #: Cells of the counts by which shingles are ranked, rarest first. Any ranking is right; a better one gives fewer pairs.
 CELLS, SUMS = 1 << 18, 16
 
@@ -202,6 +208,21 @@ def forest(reps: DataFrame) -> DataFrame:
     return rows.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(_regions, "kind int, a long, b long")
 
 
+def few_range_keys(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """run(), where a range exchange samples fewer keys a partition if there are many partitions: the sample goes to the driver, and
+    ranges need only be about even."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before, n = spark.conf.get(name, None), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    spark.conf.set(name, str(min(int(before or 100), max(RANGE_KEYS // n, 10))))
+    try:
+        return run()
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, bounded: bool = False) -> DataFrame:
     """Those of pairs (lo, hi; bounded: no row is in many) whose full shingle sets, from texts (id, text), have 100 * intersection >= percent * union."""
 
@@ -231,8 +252,33 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, bound
     return rows.select("lo", "hi", "x", "y").mapInArrow(go, "lo long, hi long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that links (lo, hi) reach from each id they hold. Labels spread and then jump, round by round."""
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (lo, hi) to (id, label). Roots hook onto smaller roots, until no link joins two."""
+    both = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]]
+    for b in batches:
+        for x, col in zip(both, ("lo", "hi"), strict=True):
+            x.append(b.column(col).to_numpy())
+    ids, ends = np.unique(np.stack([np.concatenate(x) for x in both]), return_inverse=True)
+    lo, hi = ends.reshape(2, -1)
+    label = np.arange(len(ids))
+    while True:
+        a, b = label[lo], label[hi]
+        open_links = a != b
+        if not open_links.any():
+            break
+        lo, hi = lo[open_links], hi[open_links]
+        np.minimum.at(label, np.maximum(a, b)[open_links], np.minimum(a, b)[open_links])
+        while (label[label] != label).any():
+            label = label[label]
+    for at in range(0, len(ids), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 100_000]), pa.array(ids[label[at : at + 100_000]])], names=["id", "label"])
+
+
+def components(links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
+    """(id, label): the smallest id that links (lo, hi) reach from each id they hold. One task joins up to `most` links, so that the
+    driver plans one job; of more, labels spread and then jump, round by round."""
+    if links.count() <= most:
+        return cut(links.select("lo", "hi").repartition(1).mapInArrow(_united, "id long, label long"))
     both = cut(links.union(links.select("hi", "lo")).toDF("src", "dst").distinct())
     labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("label")))
     while True:
@@ -358,7 +404,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     all_rows = cut(sketches(documents, size))
     sets = all_rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
     reps = cut(sets)
-    found = cut(forest(reps))
+    found = few_range_keys(reps.sparkSession, lambda: cut(forest(reps)))
     heads = found.where(F.col("kind") == HEAD)
     across = heads.join(heads.groupBy("a").agg(F.min("b").alias("low")), "a").select(F.col("b"), "low")
     stars = cut(_pairs(found.where(F.col("kind") == STAR).select("a", "b").union(across.toDF("a", "b")), F.col("a"), F.col("b")))

@@ -1,6 +1,7 @@
 """Near-dedup of all documents of sf0.1 against all pairs that an exact search finds."""
 
 import os
+import random
 from collections import defaultdict
 
 import pytest
@@ -49,3 +50,35 @@ def test_no_link_is_lost(spark, size, capsys):
     with capsys.disabled():
         print(f"\nsf0.1, {size}-word shingles: {lost} of {len(links)} links lost", end="")
     assert len(links) > 100 and lost == 0 and all(got[d] == root(d) for d in got)
+
+
+@pytest.mark.parametrize("most", [0, near_dedup.MOST_LINKS])
+def test_components_of_chains_rings_and_stars(spark, most):
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(100, 108)] + [(7, 90), (8, 90), (8, 91), (7, 91), (7, 91)] + [(200, k) for k in range(201, 210)] + [(k, -k) for k in (300, 301)]
+    ids = list({x for link in links for x in link})
+    name = dict(zip(ids, rng.sample(range(-(1 << 61), 1 << 61), len(ids)), strict=True))
+    links = [tuple(sorted((name[a], name[b]))) for a, b in links]
+    want = {name[x]: name[x] for x in ids}
+    while any(want[a] != want[b] for a, b in links):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    rows = spark.createDataFrame(rng.sample(links, len(links)), "lo long, hi long").repartition(4)
+    assert {r.id: r.label for r in near_dedup.components(rows, most).collect()} == want
+    assert near_dedup.components(rows.limit(0), most).collect() == []
+
+
+def test_the_driver_plans_few_jobs_and_samples_few_keys(spark):
+    sc, name = spark.sparkContext, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    rows = spark.createDataFrame([(i, i + 1) for i in range(60)], "lo long, hi long")
+    sc.setJobGroup("chain", "chain")
+    assert {r.label for r in near_dedup.components(rows).collect()} == {0}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("chain")) <= 6
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        assert int(near_dedup.few_range_keys(spark, lambda: spark.conf.get(name))) * 600 <= near_dedup.RANGE_KEYS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert spark.conf.get(name, "100") == "100"
