@@ -17,6 +17,8 @@ SPACE = " \t\n\x0b\x0c\r"
 ARROW_ROWS = 1000
 #: The share of its largest size up to which the driver's heap grows before what earlier jobs left is collected.
 FULL = 0.4
+#: Documents for each part of a checkpoint, at least, and parts for each core up to which there is no such bound.
+PART_ROWS, CORE_PARTS = 2000, 4
 
 
 def tune(spark: SparkSession) -> None:
@@ -39,11 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df into the shared folder and reads it back, so that a lost executor costs no recomputation of what is above."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Writes df into the shared folder and reads it back, so that a lost executor costs no recomputation of what is above.
+
+    parts: the most files that it is written into; partitions beyond that share tasks, without a shuffle.
+    """
     shared_dir(df.sparkSession)
     release(df.sparkSession)
-    return df.checkpoint()
+    return few(df, parts).checkpoint()
+
+
+def few(df: DataFrame, parts: int | None) -> DataFrame:
+    """df in `parts` partitions at most, without a shuffle; as it is if that is None."""
+    return df if parts is None else df.coalesce(parts)
+
+
+def most_parts(documents: DataFrame) -> int | None:
+    """How many parts what is made of these documents needs at most: one for each PART_ROWS of them, CORE_PARTS for each core at
+    least; None if shuffles make no more anyway. Without Hadoop's native library a local file system starts a process or more
+    for each file it writes, so that small tables dealt over many partitions cost processes instead of bytes."""
+    spark = documents.sparkSession
+    least = CORE_PARTS * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) <= least:
+        return None
+    return max(least, -(-documents.count() // PART_ROWS))
 
 
 def release(spark: SparkSession) -> None:

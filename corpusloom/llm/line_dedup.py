@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from corpusloom.llm.common import cut, row_key, tune
+from corpusloom.llm.common import cut, few, most_parts, row_key, tune
 
 _MARK = "doc long, doc2 long, pos int, h1 long, h2 long, docs long, first boolean"
 #: The two halves of a document's key.
@@ -97,11 +97,11 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*KEY, "pos", "h1", "h2", "docs", "first"])
 
 
-def dropped_lines(documents: DataFrame, min_docs: int = 10, keep: str = "none") -> DataFrame:
+def dropped_lines(documents: DataFrame, min_docs: int = 10, keep: str = "none", parts: int | None = None) -> DataFrame:
     """(doc, doc2, pos): the lines to drop. doc and doc2 are a key of (doc_id, text), pos counts lines from 0.
 
     keep: "none" drops every line of a key found in min_docs documents or more; "first" spares the first occurrence, in the
-    order of (doc, doc2, pos).
+    order of (doc, doc2, pos). parts: as in cut().
     """
     if keep not in ("none", "first") or min_docs < 1:
         raise ValueError("keep is none or first, min_docs 1 or more")
@@ -110,7 +110,7 @@ def dropped_lines(documents: DataFrame, min_docs: int = 10, keep: str = "none")
     lines = _keyed(documents, "text").mapInArrow(line_hashes, "h1 long, h2 long, doc long, doc2 long, pos int")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = lines.repartitionByRange(n, "h1", "h2", *KEY).sortWithinPartitions("h1", "h2", *KEY, "pos")
-    marks = cut(ordered.mapInArrow(_stream(min_docs, keep), _MARK))
+    marks = cut(ordered.mapInArrow(_stream(min_docs, keep), _MARK), parts)
     decided = marks.where("h1 is null").select(*KEY, "pos")
     edge = marks.where("h1 is not null")
     totals = edge.groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.min(F.when(F.col("first"), F.struct(*KEY, "pos"))).alias("head"))
@@ -131,11 +131,11 @@ def unpack(bitmap: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8), count=n).astype(bool)
 
 
-def keep_bitmaps(documents: DataFrame, min_docs: int = 10, keep: str = "none") -> DataFrame:
+def keep_bitmaps(documents: DataFrame, min_docs: int = 10, keep: str = "none", parts: int | None = None) -> DataFrame:
     """(doc, doc2, n_covered, n_dropped, bitmap) for each document that loses a line; every other document keeps all of its lines.
 
     A document is a row; rows that agree in doc_id and text are one document. A null or empty text is one empty line, and an
-    empty key is never dropped. Other columns are not read.
+    empty key is never dropped. Other columns are not read. parts: as in cut().
     """
 
     def packed(batches):
@@ -144,7 +144,7 @@ def keep_bitmaps(documents: DataFrame, min_docs: int = 10, keep: str = "none") -
             n = [int(p[-1]) + 1 for p in pos]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEY), pa.array(n, pa.int64()), pa.array([len(p) for p in pos], pa.int64()), pa.array([pack(p, k) for p, k in zip(pos, n, strict=True)], pa.binary())], names=[*KEY, "n_covered", "n_dropped", "bitmap"])
 
-    lost = dropped_lines(documents, min_docs, keep).groupBy(*KEY).agg(F.collect_list("pos").alias("pos"))
+    lost = dropped_lines(documents, min_docs, keep, parts).groupBy(*KEY).agg(F.collect_list("pos").alias("pos"))
     return lost.mapInArrow(packed, "doc long, doc2 long, n_covered long, n_dropped long, bitmap binary")
 
 
@@ -180,11 +180,12 @@ def apply_bitmaps(documents: DataFrame, min_docs: int = 10, keep: str = "none",
     """
     tune(documents.sparkSession)
     rows = documents.select("doc_id", "text", "lang", "source")
-    bitmaps = keep_bitmaps(rows, min_docs, keep)
+    parts = most_parts(documents)
+    bitmaps = keep_bitmaps(rows, min_docs, keep, parts)
     if spare:
-        bitmaps = cut(bitmaps)
+        bitmaps = cut(bitmaps, parts)
         bitmaps = bitmaps.join(_one_of_emptied(rows, bitmaps), KEY, "left_anti")
-    rows = _keyed(rows, *rows.columns).join(bitmaps, KEY, "left")
+    rows = few(_keyed(rows, *rows.columns).join(bitmaps, KEY, "left"), parts)
 
     def texts(batches):
         for b in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from corpusloom.llm.common import cut, tune
+from corpusloom.llm.common import cut, few, most_parts, tune
 
 #: Values of a signature, trees, values between the starts of two trees' orders, values of a key, and of a region.
 VALUES, TREES, STRIDE, KEY, DEPTH = 128, 24, 5, 8, 4
@@ -223,8 +223,8 @@ def few_range_keys(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFra
             spark.conf.set(name, before)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, bounded: bool = False) -> DataFrame:
-    """Those of pairs (lo, hi; bounded: no row is in many) whose full shingle sets, from texts (id, text), have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, bounded: bool = False, parts: int | None = None) -> DataFrame:
+    """Those of pairs (lo, hi; bounded: no row is in many) whose full shingle sets, from texts (id, text), have 100 * intersection >= percent * union. parts: as in cut()."""
 
     def go(batches):
         held, left = None, None
@@ -240,7 +240,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, bound
 
     # A row that is held against many others is copied, once for each HEAD_PAIRS of them, so that no task gets all its pairs.
     right, left = texts.select(F.col("id").alias("hi"), F.col("text").alias("y")), texts.select(F.col("id").alias("lo"), F.col("text").alias("x"))
-    heavy = None if bounded else cut(pairs.groupBy("lo").agg(F.count("*").alias("n")).where(F.col("n") > HEAD_PAIRS).select("lo", F.ceil(F.col("n") / HEAD_PAIRS).cast("int").alias("copies")))
+    heavy = None if bounded else cut(pairs.groupBy("lo").agg(F.count("*").alias("n")).where(F.col("n") > HEAD_PAIRS).select("lo", F.ceil(F.col("n") / HEAD_PAIRS).cast("int").alias("copies")), parts)
     n = heavy.count() if heavy is not None else 0
     if n == 0:
         rows = pairs.join(right, "hi").join(left, "lo")
@@ -357,18 +357,18 @@ def _unpacked_counts(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), dtype=np.int32).astype(np.int64)
 
 
-def set_apart(found: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+def set_apart(found: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, parts: int | None = None) -> DataFrame | None:
     """Pairs (lo, hi) of different labels (id, label) that may be alike, among rows of regions that were split and have more than
-    one label: all that are alike, by prefix filter, and few others. None if there are no such rows."""
+    one label: all that are alike, by prefix filter, and few others. None if there are no such rows. parts: as in cut()."""
     members = found.where(F.col("kind") == REGION).select(F.col("a").alias("region"), F.col("b").alias("id"))
     members = members.join(labels, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label"))
     open_regions = members.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region")
-    ids = cut(members.join(open_regions, "region", "left_semi").select("id", "label").distinct())
+    ids = cut(members.join(open_regions, "region", "left_semi").select("id", "label").distinct(), parts)
     if ids.isEmpty():
         return None
-    rows = cut(texts.join(ids, "id").select("id", "label", "text"))
+    rows = cut(texts.join(ids, "id").select("id", "label", "text"), parts)
     ranks = rows.sparkSession.sparkContext.broadcast(_ranks(rows, size))
-    x = cut(rows.mapInArrow(_prefixes(percent, size, ranks), "shingle long, id long, label long, n long, pos long, short boolean"))
+    x = cut(rows.mapInArrow(_prefixes(percent, size, ranks), "shingle long, id long, label long, n long, pos long, short boolean"), parts)
     y = x.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "pos")))
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # shingles in common, if this is the first
     fits = (F.struct("n", "id") < F.struct(F.col("n2").alias("n"), F.col("id2").alias("id"))) & (F.col("label") != F.col("label2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
@@ -402,35 +402,36 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     """
     tune(documents.sparkSession)
     all_rows = cut(sketches(documents, size))
+    parts = most_parts(all_rows)
     sets = all_rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
-    reps = cut(sets)
-    found = few_range_keys(reps.sparkSession, lambda: cut(forest(reps)))
+    reps = cut(sets, parts)
+    found = few_range_keys(reps.sparkSession, lambda: cut(forest(reps), parts))
     heads = found.where(F.col("kind") == HEAD)
     across = heads.join(heads.groupBy("a").agg(F.min("b").alias("low")), "a").select(F.col("b"), "low")
-    stars = cut(_pairs(found.where(F.col("kind") == STAR).select("a", "b").union(across.toDF("a", "b")), F.col("a"), F.col("b")))
+    stars = cut(_pairs(found.where(F.col("kind") == STAR).select("a", "b").union(across.toDF("a", "b")), F.col("a"), F.col("b")), parts)
     wanted = found.where(F.col("kind") == MEMBER).select(F.col("b").alias("id")).union(stars.select("lo")).union(stars.select("hi")).distinct()
-    texts = cut(documents.select(F.col("doc_id").alias("id"), "text").join(wanted, "id"))
-    same = cut(_same_document(all_rows, reps))
+    texts = cut(documents.select(F.col("doc_id").alias("id"), "text").join(wanted, "id"), parts)
+    same = cut(_same_document(all_rows, reps), parts)
     several = not same.isEmpty()
-    links = cut(confirmed(stars, texts, size, percent))
+    links = cut(confirmed(stars, texts, size, percent, parts=parts), parts)
     if several:
         links = links.union(same.where("id is not null").select(F.col("low").alias("lo"), F.col("id").alias("hi")).where("lo <> hi"))
     labels = components(links)
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("part"), F.col("b").alias("id"))
     members = members.join(labels, "id", "left").select("part", "id", F.coalesce("label", "id").alias("label"))
     open_parts = members.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("part")
-    rest = cut(members.join(open_parts, "part", "left_semi").join(reps.select("id", "n", "odd"), "id").select("part", "id", "label", "n", "odd"))
+    rest = cut(members.join(open_parts, "part", "left_semi").join(reps.select("id", "n", "odd"), "id").select("part", "id", "label", "n", "odd"), parts)
     other = rest.toDF("part", "id2", "label2", "n2", "odd2")
     more = rest.join(other, (rest["part"] == other["part"]) & (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & _alike(percent)).select(F.col("id").alias("lo"), F.col("id2").alias("hi")).distinct()
-    more = cut(more.join(stars, ["lo", "hi"], "left_anti"))
+    more = cut(more.join(stars, ["lo", "hi"], "left_anti"), parts)
     if not more.isEmpty():
-        links = links.union(cut(confirmed(more, texts, size, percent, bounded=True)))  # at most SMALL - 1 in each tree
+        links = links.union(cut(confirmed(more, texts, size, percent, bounded=True), parts))  # at most SMALL - 1 in each tree
         labels = components(links)
-    far = set_apart(found, labels, reps, texts, size, percent)
+    far = set_apart(found, labels, reps, texts, size, percent, parts)
     if far is not None:
-        far = cut(far.join(stars, ["lo", "hi"], "left_anti").join(more, ["lo", "hi"], "left_anti"))
+        far = cut(far.join(stars, ["lo", "hi"], "left_anti").join(more, ["lo", "hi"], "left_anti"), parts)
         if not far.isEmpty():
-            labels = components(links.union(cut(confirmed(far, texts, size, percent))))
+            labels = components(links.union(cut(confirmed(far, texts, size, percent, parts=parts), parts)))
     classes = reps.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("class"))
     out = all_rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
     whole = F.lit(None).cast("long")
@@ -438,7 +439,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
         others = same.where("id is not null").select("doc_id", F.col("low").alias("id")).distinct().join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("whole"))
         out, whole = out.join(others, "doc_id", "left"), F.col("whole")
     component = F.coalesce(F.col("class"), whole, F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return few(out, parts).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -447,4 +448,4 @@ def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
     Of repeated rows of a kept doc_id all stay alike; rows without a doc_id stay.
     """
     gone = near_duplicates(documents, size, percent).where("not kept").select("doc_id").distinct()
-    return documents.select("doc_id", "text", "lang", "source", "n_chars").join(gone, "doc_id", "left_anti")
+    return few(documents.select("doc_id", "text", "lang", "source", "n_chars").join(gone, "doc_id", "left_anti"), most_parts(documents))
