@@ -18,7 +18,7 @@ ARROW_ROWS = 1000
 #: The share of its largest size up to which the driver's heap grows before what earlier jobs left is collected.
 FULL = 0.4
 #: Documents for each part of a checkpoint, at least, and parts for each core up to which there is no such bound.
-PART_ROWS, CORE_PARTS = 2000, 4
+PART_ROWS, CORE_PARTS = 4000, 2
 
 
 def tune(spark: SparkSession) -> None:
