@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import runs, tune, words
+from corpusloom.llm.common import few, most_parts, runs, tune, words
 
 SYMBOLS = "#*$%&|<>"
 #: UTF-8 bytes of text that are sorted together. A longer document is a batch of its own.
@@ -170,4 +170,4 @@ def judge(documents: DataFrame, rules: Rules = Rules(), carry: tuple[str, ...] =
 def accepted(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """documents (doc_id, text, lang, source, n_chars) without those that a rule rejects."""
     cols = ("doc_id", "text", "lang", "source", "n_chars")
-    return judge(documents, rules, cols).where("kept").select(*cols)
+    return few(judge(documents, rules, cols), most_parts(documents)).where("kept").select(*cols)

@@ -41,3 +41,12 @@ def test_checkpoints_of_a_small_table_are_few_files(spark, documents, many, monk
         assert most <= -(-n // 20) if rows == 20 else most == 24
         assert lines.rdd.getNumPartitions() <= -(-n // 20) or rows != 20
     assert found[0] == found[1] and 0 < len(found[0]) < docs.where(F.col("text").isNotNull()).count()
+
+
+def test_accepted_rows_of_a_small_table_are_few_parts(spark, documents, many, monkeypatch):
+    docs = documents.repartition(24)
+    monkeypatch.setattr(common, "PART_ROWS", 100_000)
+    whole = sorted(map(repr, corpus_pipeline.quality_rules(spark, docs, "").collect()))
+    monkeypatch.setattr(common, "CORE_PARTS", 1)
+    kept = corpus_pipeline.quality_rules(spark, docs, "")
+    assert kept.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and sorted(map(repr, kept.collect())) == whole != []
