@@ -103,10 +103,11 @@ def read_index(spark: SparkSession, path: str, dimensions: int = K.DIMENSIONS) -
     return docs, chunks.withColumn("vec", F.lit(None).cast("array<float>")) if problems else chunks, problems
 
 
-def append_log(rows: DataFrame, path: str, roll_bytes: int = 20_000_000) -> None:
-    """Appends JSON lines; a log over roll_bytes first becomes the one kept older generation."""
+def append_log(rows: DataFrame, path: str, roll_bytes: int | None = None) -> None:
+    """Appends JSON lines. With roll_bytes a log of more bytes first becomes the one kept older generation, and read_log has it no more; without,
+    every row stays, however long the log gets."""
     fs, p, make = _fs(rows.sparkSession, path)
-    if fs.exists(p) and fs.getContentSummary(p).getLength() > roll_bytes:
+    if roll_bytes is not None and fs.exists(p) and fs.getContentSummary(p).getLength() > roll_bytes:
         older = make(f"{path}.1")
         fs.delete(older, True)
         fs.rename(p, older)

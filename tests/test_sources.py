@@ -189,3 +189,10 @@ def test_plans_gaps_and_debounce(spark):
     s = spark.createDataFrame([(f"f{i}", "changed") for i in range(9)] + [("g", "removed"), ("h", "same")], "file_id string, state string")
     got = {r.action for r in capture.repair_plan(s).collect()}
     assert got == {"stale", "drop"} and {r.action for r in capture.repair_plan(s, built=False).collect()} == {"repair", "drop"}
+
+
+def test_a_long_log_keeps_what_was_appended(spark, tmp_path):
+    p = f"{tmp_path}/long.jsonl"
+    sinks.append_log(spark.sql("SELECT 1 AS n, repeat('x', 21000000) AS q"), p)
+    sinks.append_log(spark.createDataFrame([(2, "b")], "n int, q string"), p)
+    assert sorted(r.n for r in sinks.read_log(spark, p, "n int").collect()) == [1, 2]  # the log of over 20 MB was put aside before
