@@ -28,3 +28,10 @@ def test_expected_values_over_cores(spark, tmp_path):
     # One scan of few partitions was one task, and took each expected value apart for each row.
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert "regexp_extract" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_empty_texts_are_files_too(spark, tmp_path):
+    # Spark's file sources pass over files of no bytes, so that rows were missing.
+    docs = "SELECT i AS doc_id, CASE WHEN i % 5 = 0 THEN '' WHEN i % 5 = 1 THEN NULL ELSE 'text ' || i END AS text, 'en' AS lang, 'src' AS source, 5 AS n_chars FROM range(60) r(i)"
+    for name in ("folder_texts", "markdown_corpus"):
+        same(spark, name, tmp_path, documents=docs, labels="SELECT 1 AS doc_id, 1 AS quality, 0 AS toxic")
